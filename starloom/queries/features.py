@@ -10,11 +10,17 @@ from ..operators import marts, metrics, series
 from ..operators import reviews as R
 from ..plans.catalog import register
 from ..plans.oracle import oracle
-from ..plans.warehouse import warehouse_from_testdata
+from ..plans.warehouse import loaded_warehouse, warehouse_from_testdata
 from ..sources.tables import read_table
 
 
 def _wh(spark, sf_dir):
+    """The loaded star schema (built once per session)."""
+    return loaded_warehouse(spark, sf_dir)
+
+
+def _etl(spark, sf_dir):
+    """The star schema as a fresh plan over the raw sources."""
     return warehouse_from_testdata(spark, sf_dir)
 
 
