@@ -22,4 +22,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from ..queries import core, features  # noqa: F401
+    from ..queries import core, features, models  # noqa: F401
