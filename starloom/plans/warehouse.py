@@ -122,17 +122,22 @@ def loaded_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
 
 def write_warehouse(wh: Warehouse, path: str) -> None:
     """Idempotent write: dimensions overwrite; the fact is partitioned by
-    purchase year/month and only the partitions present are replaced."""
+    purchase year/month and only the partitions present are replaced.
+
+    Dimensions are written first and the fact's key lookups read them back
+    (as the loader of a database would), so no dimension is computed twice.
+    """
     spark = wh.fact.sparkSession
     for attr in DIMENSIONS:
         getattr(wh, attr).write.mode("overwrite").parquet(f"{path}/{VIEW_NAMES[attr]}")
+    written = Warehouse(wh.raw, {attr: spark.read.parquet(f"{path}/{VIEW_NAMES[attr]}") for attr in DIMENSIONS})
     previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         # Range-partitioning on the purchase time gives each write task a
         # contiguous slice of time: few month folders per task, few files
         # per folder, and a busy month is split over several tasks.
-        (wh.fact
+        (written.fact
          .withColumn("purchase_year", F.year("order_purchase_timestamp"))
          .withColumn("purchase_month", F.month("order_purchase_timestamp"))
          .repartitionByRange(shuffle_partitions(spark), "order_purchase_timestamp", "order_id")
