@@ -20,6 +20,7 @@ from ..models import review_classifier as RC
 from ..models import segments as S
 from ..operators import reviews as R
 from ..plans.catalog import register
+from ..plans.oracle import oracle
 from ..plans.warehouse import DIMENSIONS, VIEW_NAMES, loaded_warehouse, read_warehouse, write_warehouse
 from ..session import ensure_checkpoint_dir
 
@@ -57,7 +58,13 @@ def q_customer_segments(spark, sf_dir):
 
 @register("segment_summary")
 def q_segment_summary(spark, sf_dir):
-    return S.segment_summary(_segments(spark, sf_dir)[2])
+    """Serving path: persist model + scaler, load them back, assign every
+    customer, summarise per segment."""
+    vecs, model, assigned = _segments(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/starloom-segments-{uuid.uuid4().hex}"
+    S.save(model, S.segment_names(assigned), path)
+    loaded, names = S.load(spark, path)
+    return S.segment_summary(S.assign_segments(loaded, vecs, names))
 
 
 @register("cluster_sizes")
@@ -171,7 +178,9 @@ def q_forecast_model_error(spark, sf_dir):
 
 # ------------------------------------------------------------ persistence
 
-@register("warehouse_roundtrip")
+@register("warehouse_roundtrip", oracle("\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in
+    ("dim_customers", "dim_sellers", "dim_products", "dim_date", "dim_geolocation", "fact_orders"))))
 def q_warehouse_roundtrip(spark, sf_dir):
     """Write the star schema twice to one folder (idempotent: the second
     write replaces, never appends) and count rows per table read back."""
@@ -186,3 +195,15 @@ def q_warehouse_roundtrip(spark, sf_dir):
     for fr in frames[1:]:
         u = u.unionByName(fr)
     return u.groupBy("table_name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# -------------------------------------------------------------- streaming
+
+@register("fact_orders_streamed", oracle("SELECT * FROM fact_orders"))
+def q_fact_orders_streamed(spark, sf_dir):
+    """The fact built by the micro-batch loader from the orders file stream."""
+    from ..streaming.incremental import load_orders_incrementally
+    from ..plans.warehouse import warehouse_from_testdata
+    base = f"{ensure_checkpoint_dir(spark)}/starloom-stream-{uuid.uuid4().hex}"
+    return load_orders_incrementally(spark, warehouse_from_testdata(spark, sf_dir), sf_dir,
+                                     f"{base}/out", f"{base}/state", pattern="orders.parquet")

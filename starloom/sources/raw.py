@@ -78,6 +78,25 @@ class RawTables:
         return value() if callable(value) else value
 
 
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+
+
+def orders_from_table(o: DataFrame) -> DataFrame:
+    """Driver ``orders`` rows -> raw marketplace orders (works on a batch or
+    a streaming micro-batch alike)."""
+    key = F.col("o_orderkey")
+    delivered_ok = (F.col("o_orderstatus") == "F") & (key % 50 != 0)
+    return o.select(
+        key.alias("order_id"),
+        F.col("o_custkey").alias("customer_id"),
+        _map_codes(F.col("o_orderstatus"), ORDER_STATUS).alias("order_status"),
+        (F.col("o_orderdate") + hours(key * 7 % 24)).alias("order_purchase_timestamp"),
+        F.when(delivered_ok, F.col("o_orderdate") + days(key % 37) + hours(key * 5 % 24))
+         .alias("order_delivered_customer_date"),
+        (F.col("o_orderdate") + days(10 + key % 20)).alias("order_estimated_delivery_date"),
+    )
+
+
 def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     # nation has 25 rows at every scale factor: a fixed-size dictionary.
     return F.broadcast(read_table(spark, sf_dir, "nation", "n_nationkey", "n_name"))
@@ -124,18 +143,7 @@ def raw_from_testdata(spark: SparkSession, sf_dir: str) -> RawTables:
     categories = spark.createDataFrame(
         CATEGORY_DICTIONARY, "product_category_name string, product_category_name_english string")
 
-    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    key = F.col("o_orderkey")
-    delivered_ok = (F.col("o_orderstatus") == "F") & (key % 50 != 0)
-    orders = o.select(
-        key.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        _map_codes(F.col("o_orderstatus"), ORDER_STATUS).alias("order_status"),
-        (F.col("o_orderdate") + hours(key * 7 % 24)).alias("order_purchase_timestamp"),
-        F.when(delivered_ok, F.col("o_orderdate") + days(key % 37) + hours(key * 5 % 24))
-         .alias("order_delivered_customer_date"),
-        (F.col("o_orderdate") + days(10 + key % 20)).alias("order_estimated_delivery_date"),
-    )
+    orders = orders_from_table(read_table(spark, sf_dir, "orders", *ORDER_COLUMNS))
 
     li = read_table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice").cast("decimal(10,2)")
