@@ -182,10 +182,9 @@ def q_forecast_model_error(spark, sf_dir):
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in
     ("dim_customers", "dim_sellers", "dim_products", "dim_date", "dim_geolocation", "fact_orders"))))
 def q_warehouse_roundtrip(spark, sf_dir):
-    """Write the star schema twice to one folder (idempotent: the second
-    write replaces, never appends) and count rows per table read back."""
-    from ..plans.warehouse import warehouse_from_testdata
-    wh = warehouse_from_testdata(spark, sf_dir)
+    """Write the loaded star schema twice to one folder (idempotent: the
+    second write replaces, never appends) and count rows per table read back."""
+    wh = loaded_warehouse(spark, sf_dir)
     path = f"{ensure_checkpoint_dir(spark)}/starloom-roundtrip-{uuid.uuid4().hex}"
     write_warehouse(wh, path)
     write_warehouse(wh, path)
