@@ -29,9 +29,8 @@ def customer_features(wh, min_orders: int = 1, with_dates: bool = True) -> DataF
     f = wh.fact.where((F.col("order_status") == "delivered")
                       & F.col("days_to_deliver").isNotNull()
                       & F.col("review_score").isNotNull())
-    c = lookup_side(wh.customers.select("customer_key", "customer_id"), wh.bound("customers"))
     p = lookup_side(wh.products.select("product_key", "category_name_english"), wh.bound("products"))
-    j = f.join(c, "customer_key").join(p, "product_key")
+    j = f.join(p, "product_key")
     aggs = [
         F.countDistinct("order_id").alias("total_orders"),
         F.sum("price").alias("_spent"), F.count("price").alias("_n_price"),
@@ -45,7 +44,11 @@ def customer_features(wh, min_orders: int = 1, with_dates: bool = True) -> DataF
     if with_dates:
         aggs += [F.max("order_purchase_timestamp").alias("last_purchase"),
                  F.min("order_purchase_timestamp").alias("first_purchase")]
-    g = j.groupBy("customer_id").agg(*aggs).where(F.col("total_orders") >= min_orders)
+    # aggregate per surrogate key first; the customer dimension then joins
+    # one row per customer rather than one per fact row
+    g = j.groupBy("customer_key").agg(*aggs).where(F.col("total_orders") >= min_orders)
+    c = lookup_side(wh.customers.select("customer_key", "customer_id"), wh.bound("customers"))
+    g = g.join(c, "customer_key")
     spent = F.col("_spent").cast("double")
     aov = spent / F.col("_n_price")
     avg_freight = F.col("_freight").cast("double") / F.col("_n_freight")
