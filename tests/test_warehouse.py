@@ -40,12 +40,12 @@ def test_status_anchors(wh):
 
 def test_mart_anchors(queries, spark):
     cats = {r.category: (r.total_orders, r.total_revenue) for r in queries["sales_by_category"](spark, SF001).collect()}
-    assert cats[None] == (7748, Decimal("573973465.37"))
-    assert cats["medium_goods"] == (7483, Decimal("551477627.87"))
-    assert cats["value_line"] == (6766, Decimal("485145782.34"))
+    assert cats[None] == (7748, 573973465.37)
+    assert cats["medium_goods"] == (7483, 551477627.87)
+    assert cats["value_line"] == (6766, 485145782.34)
     m = queries["monthly_sales"](spark, SF001).collect()
     assert len(m) == 79 and (m[0].year, m[0].month, m[0].total_orders) == (1995, 1, 66)
-    assert m[0].total_revenue == Decimal("15395036.92")
+    assert m[0].total_revenue == 15395036.92
 
 
 def test_feature_anchors(queries, spark):
