@@ -67,10 +67,13 @@ def customer_rfm(feats: DataFrame) -> DataFrame:
     """Recency (days before the latest purchase of anyone) and lifetime
     (first to last purchase), both in floor days.  The global latest
     purchase is one scalar aggregate, passed as a literal."""
-    latest = feats.agg(F.max("last_purchase")).first()[0]
+    latest = feats.agg(F.max("last_purchase").cast("string")).first()[0]
+    # the scalar travels as text and is parsed back as a zone-less timestamp,
+    # so neither the session nor the Python time zone can shift it
+    latest_ts = F.lit(latest).cast("timestamp_ntz")
     return feats.select(
         "customer_id", "last_purchase", "first_purchase",
-        floor_days(F.col("last_purchase"), F.lit(latest)).alias("recency"),
+        floor_days(F.col("last_purchase"), latest_ts).alias("recency"),
         floor_days("first_purchase", "last_purchase").alias("customer_lifetime_days"))
 
 

@@ -134,20 +134,17 @@ def write_warehouse(wh: Warehouse, path: str) -> None:
     # an already-loaded fact is copied as is; otherwise it is built on the
     # written dimensions
     fact = wh._tables["fact"] if "fact" in wh._tables else written.fact
-    previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        # Range-partitioning on the purchase time gives each write task a
-        # contiguous slice of time: few month folders per task, few files
-        # per folder, and a busy month is split over several tasks.
-        (fact
-         .withColumn("purchase_year", F.year("order_purchase_timestamp"))
-         .withColumn("purchase_month", F.month("order_purchase_timestamp"))
-         .repartitionByRange(shuffle_partitions(spark), "order_purchase_timestamp", "order_id")
-         .write.mode("overwrite").partitionBy("purchase_year", "purchase_month")
-         .parquet(f"{path}/fact_orders"))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+    # Range-partitioning on the purchase time gives each write task a
+    # contiguous slice of time: few month folders per task, few files per
+    # folder, and a busy month is split over several tasks.  Dynamic
+    # partition overwrite replaces only the months present in this load.
+    (fact
+     .withColumn("purchase_year", F.year("order_purchase_timestamp"))
+     .withColumn("purchase_month", F.month("order_purchase_timestamp"))
+     .repartitionByRange(shuffle_partitions(spark), "order_purchase_timestamp", "order_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("purchase_year", "purchase_month")
+     .parquet(f"{path}/fact_orders"))
 
 
 def read_warehouse(spark: SparkSession, path: str, raw: RawTables) -> Warehouse:
