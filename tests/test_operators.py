@@ -94,3 +94,12 @@ def test_class_ranks_balanced_folds(spark):
         sizes.setdefault(x.y, []).append(x["count"])
     assert all(max(v) - min(v) <= 1 for v in sizes.values())
     assert r.select("class_rank").distinct().count() == 50
+
+
+def test_label_codes_paths_agree(spark):
+    from starloom.operators.reviews import label_codes
+    df = spark.createDataFrame([("b", "x"), ("a", None), ("c", "x"), ("a", "y")], "u string, v string")
+    small = {(r.column_name, r.value): r.code for r in label_codes(df, ["u", "v"], bound=4).collect()}
+    large = {(r.column_name, r.value): r.code for r in label_codes(df, ["u", "v"], bound=10**9).collect()}
+    assert small == large
+    assert small == {("u", "a"): 0, ("u", "b"): 1, ("u", "c"): 2, ("v", "unknown"): 0, ("v", "x"): 1, ("v", "y"): 2}
