@@ -70,7 +70,8 @@ def _features(df: DataFrame, start: str, span: float, knots: list) -> tuple[Data
 def training_series(wh) -> DataFrame:
     """Delivered daily revenue with incomplete boundary days removed."""
     daily = series.trim_boundary_days(marts.daily_sales(wh))
-    return daily.select("ds", F.col("revenue").cast("double").alias("y"),
+    # one row per day: bounded by the calendar, one partition is plenty
+    return daily.coalesce(1).select("ds", F.col("revenue").cast("double").alias("y"),
                         F.col("total_orders").cast("double").alias("total_orders")).where(F.col("y").isNotNull())
 
 

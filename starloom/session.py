@@ -63,3 +63,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+ROWS_PER_PARTITION = 200_000
+
+
+def sized(df, row_bound: int, rows_per_partition: int = ROWS_PER_PARTITION):
+    """Narrow ``df`` to about ``row_bound / rows_per_partition`` partitions
+    (never more than it has).  Iterative fits scan their cached input many
+    times; hundreds of nearly empty partitions would cost a task each per
+    iteration, while the bound keeps large inputs spread out."""
+    return df.coalesce(max(1, -(-int(row_bound) // rows_per_partition)))
