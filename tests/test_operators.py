@@ -103,3 +103,19 @@ def test_label_codes_paths_agree(spark):
     large = {(r.column_name, r.value): r.code for r in label_codes(df, ["u", "v"], bound=10**9).collect()}
     assert small == large
     assert small == {("u", "a"): 0, ("u", "b"): 1, ("u", "c"): 2, ("v", "unknown"): 0, ("v", "x"): 1, ("v", "y"): 2}
+
+
+def test_class_ranks_paths_agree(spark):
+    rows = [(i, i % 7, i % 3, i % 2) for i in range(1, 301)]
+    df = spark.createDataFrame(rows, "order_id long, product_key long, seller_key long, y int")
+    small = {r.order_id: (r.class_rank, r._class_rows) for r in class_ranks(df, "y", row_bound=300).collect()}
+    from starloom.operators import keys
+    old = keys.LOCAL_LIMIT
+    import starloom.operators.reviews as R
+    try:
+        R.LOCAL_LIMIT = 10
+        large = {r.order_id: (r.class_rank, r._class_rows) for r in
+                 R.class_ranks(df, "y", row_bound=300).collect()}
+    finally:
+        R.LOCAL_LIMIT = old
+    assert small == large
