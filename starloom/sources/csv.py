@@ -81,3 +81,20 @@ def raw_from_csv(spark: SparkSession, folder: str) -> RawTables:
     bounds = {name: counter(name) for name in FILES}
     return RawTables(customers, sellers, products, categories, orders, items, payments, reviews,
                      geolocation, bounds)
+
+
+def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows, malformed rows (wrong field count) and parsed characters of one
+    CSV file: a PERMISSIVE read with a ``_corrupt_record`` column.  The
+    character total keeps every field referenced, so every field is parsed
+    (Spark refuses a query on the corrupt-record column alone)."""
+    from pyspark.sql.types import StringType, StructField, StructType
+    header = [c.lstrip("\ufeff") for c in read_csv(spark, path).columns]
+    schema = StructType([StructField(c, StringType()) for c in header]
+                        + [StructField("_corrupt_record", StringType())])
+    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+    chars = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in header]))
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  F.count_if(F.col("_corrupt_record").isNotNull()).alias("malformed_rows"),
+                  F.sum(chars).alias("field_chars"))

@@ -49,3 +49,13 @@ def test_csv_warehouse(spark):
     assert o1.review_score == 5 and o1.days_to_deliver == 8
     assert fact[("o2", "None")].order_date_key is None and fact[("o2", "None")].price is None
     assert len(fact) == 4
+
+
+def test_malformed_rows_counted(spark):
+    from starloom.sources.csv import malformed_rows
+    folder = tempfile.mkdtemp(prefix="starloom-csv-bad-")
+    path = os.path.join(folder, "reviews.csv")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write("review_id,order_id,review_score\nr1,o1,5\nr2,o2\nr3,o3,4,extra\nr4,o4,1\n")
+    r = malformed_rows(spark, path).first()
+    assert r.rows == 4 and r.malformed_rows == 2
