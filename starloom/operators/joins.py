@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
-def lookup_side(df: DataFrame, row_bound: int, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def lookup_side(df: DataFrame, row_bound: int, limit: int | None = None) -> DataFrame:
     """Mark ``df`` for broadcast only when its proven row bound is under the
     limit.  Beyond it the join stays a shuffle join (sort-merge, with AQE's
     runtime broadcast switch and skew split still available)."""
+    limit = BROADCAST_ROW_LIMIT if limit is None else limit
     return F.broadcast(df) if row_bound <= limit else df
 
 

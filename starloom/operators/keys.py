@@ -23,7 +23,8 @@ LOCAL_LIMIT = 5_000_000
 
 
 def with_surrogate_key(df: DataFrame, key: str, order: list[str], row_bound: int,
-                       local_limit: int = LOCAL_LIMIT, num_partitions: int | None = None) -> DataFrame:
+                       local_limit: int | None = None, num_partitions: int | None = None) -> DataFrame:
+    local_limit = LOCAL_LIMIT if local_limit is None else local_limit
     if row_bound <= local_limit:
         w = Window.orderBy(*order)
         return df.select(F.row_number().over(w).cast("long").alias(key), *df.columns)
