@@ -27,3 +27,20 @@ def test_adhoc_sql_guard(spark):
     for bad in ("DROP TABLE x", "SELECT 1; DELETE FROM y", ""):
         with pytest.raises(ValueError):
             check_select(bad)
+
+
+def test_fact_plan_at_scale_aggregates_payments_once(spark, monkeypatch):
+    """Broadcasts off (the shape at 100 TB): dimension lookups become shuffle
+    joins and the payment rollup is planned exactly once."""
+    import starloom.operators.joins as J
+    from starloom.plans.warehouse import warehouse_from_testdata
+    monkeypatch.setattr(J, "BROADCAST_ROW_LIMIT", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(warehouse_from_testdata(spark, SF001).fact)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert p.count("partial_sum(payment_value") == 1
+    assert "SortMergeJoin [customer_id" in p and "SortMergeJoin [product_id" in p
+    assert "LeftAnti" in p and "Inner" in p
