@@ -88,7 +88,7 @@ def q_silhouette(spark, sf_dir):
 @register("kmeans_elbow")
 def q_kmeans_elbow(spark, sf_dir):
     vecs, _, _ = _segments(spark, sf_dir)
-    return S.elbow(vecs, n_init=3)
+    return S.elbow(vecs)
 
 
 @register("customer_pca")
