@@ -41,3 +41,29 @@ def test_review_scoring_and_partial_inputs(spark):
     partial = rows.select(*RC.R.IDS, "price", "freight_value", "payment_value", "payment_installments",
                           "days_to_deliver", "days_estimated", "delivery_delay_days").limit(3)
     assert RC.score(model, partial).count() == 3
+
+
+def test_sampled_silhouette_matches_brute_force(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from starloom.models.segments import silhouette_sample
+    rng = np.random.default_rng(0)
+    pts = np.vstack([rng.normal(0, 1, (40, 3)), rng.normal(5, 1, (30, 3)), rng.normal((0, 8, 0), 1, (1, 3))])
+    lab = np.array([0] * 40 + [1] * 30 + [2])
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+    schema = StructType([StructField("customer_id", LongType()), StructField("features", VectorUDT()),
+                         StructField("cluster", IntegerType())])
+    df = spark.createDataFrame([(i, Vectors.dense(p.tolist()), int(c)) for i, (p, c) in enumerate(zip(pts, lab))],
+                               schema)
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    s = []
+    for i in range(len(pts)):
+        own = lab == lab[i]
+        if own.sum() == 1:
+            s.append(0.0)
+            continue
+        a = d[i, own].sum() / (own.sum() - 1)
+        b = min(d[i, lab == c].mean() for c in set(lab) if c != lab[i])
+        s.append((b - a) / max(a, b))
+    assert abs(silhouette_sample(df, sample_size=1000, block=16) - float(np.mean(s))) < 1e-12
