@@ -75,3 +75,12 @@ def test_invariants(wh):
 def test_quality_checks_clean(queries, spark):
     assert all(r.duplicate_keys == 0 for r in queries["dq_duplicate_keys"](spark, SF001).collect())
     assert all(r.orphan_rows == 0 for r in queries["dq_orphans"](spark, SF001).collect())
+
+
+def test_order_key_unique_and_follows_purchase_time(wh):
+    from pyspark.sql import Window
+    f = wh.fact
+    assert f.select("order_key").distinct().count() == f.count()
+    w = Window.orderBy("order_key")
+    back = f.select("order_purchase_timestamp", F.lag("order_purchase_timestamp").over(w).alias("prev"))
+    assert back.where(F.col("prev") > F.col("order_purchase_timestamp")).count() == 0
