@@ -62,8 +62,16 @@ class Warehouse:
         return self._get("fact", lambda: fact_orders(self.raw, self))
 
     def bound(self, dim: str) -> int:
-        """Proven row bound of a dimension (its raw source's rows)."""
-        return self.raw.bound({"dates": "orders"}.get(dim, dim))
+        """Proven row bound of a dimension: its raw source's rows, or, for a
+        warehouse read without raw sources, the table's own row count (a
+        footer-only count over Parquet)."""
+        if self.raw is not None:
+            return self.raw.bound({"dates": "orders"}.get(dim, dim))
+        key = f"_count_{dim}"
+        if key not in self._tables:
+            attr = {"items": "fact", "orders": "fact"}.get(dim, dim)
+            self._tables[key] = getattr(self, attr).count()
+        return self._tables[key]
 
     def register_views(self, prefix: str = "") -> list[str]:
         """Expose tables and the three reporting views to ``spark.sql``."""
@@ -155,7 +163,7 @@ def write_warehouse(wh: Warehouse, path: str) -> None:
      .parquet(f"{path}/fact_orders"))
 
 
-def read_warehouse(spark: SparkSession, path: str, raw: RawTables) -> Warehouse:
+def read_warehouse(spark: SparkSession, path: str, raw: RawTables | None = None) -> Warehouse:
     tables = {attr: spark.read.parquet(f"{path}/{VIEW_NAMES[attr]}") for attr in DIMENSIONS}
     tables["fact"] = spark.read.parquet(f"{path}/fact_orders").select("order_key", *FACT_COLUMNS)
     return Warehouse(raw, tables)
