@@ -38,3 +38,18 @@ def result_sample(df: DataFrame, n: int = SAMPLE_ROWS, keep: list[str] | None =
     """The first ``n`` rows, each also as one JSON text (``row_json``)."""
     head = df.limit(n)
     return head.select(*(keep or []), F.to_json(F.struct(*df.columns)).alias("row_json"))
+
+
+def schema_catalog(spark: SparkSession, wh) -> DataFrame:
+    """Tables and views ad-hoc SQL may use, with their columns in order:
+    (object_name, object_type, position, column_name, data_type).  Read from
+    Spark's catalog after registering the warehouse views; one row per
+    column, so it is bounded by the schema, not by the data."""
+    names = wh.register_views()
+    rows = []
+    for name in names:
+        kind = "view" if name.startswith("vw_") else "table"
+        for i, col in enumerate(spark.catalog.listColumns(name)):
+            rows.append((name, kind, i + 1, col.name, col.dataType))
+    return spark.createDataFrame(
+        rows, "object_name string, object_type string, position int, column_name string, data_type string")

@@ -44,3 +44,11 @@ def test_fact_plan_at_scale_aggregates_payments_once(spark, monkeypatch):
     assert p.count("partial_sum(payment_value") == 1
     assert "SortMergeJoin [customer_id" in p and "SortMergeJoin [product_id" in p
     assert "LeftAnti" in p and "Inner" in p
+
+
+def test_schema_catalog_lists_views_and_tables(spark):
+    from starloom.plans.adhoc import schema_catalog
+    from starloom.plans.warehouse import loaded_warehouse
+    cat = {(r.object_name, r.column_name) for r in schema_catalog(spark, loaded_warehouse(spark, SF001)).collect()}
+    assert ("vw_sales_by_category", "category") in cat
+    assert ("fact_orders", "order_key") in cat and ("dim_date", "is_weekend") in cat
