@@ -21,6 +21,8 @@ from ..session import ensure_checkpoint_dir, shuffle_partitions
 from ..sources.raw import RawTables, raw_from_testdata
 
 DIMENSIONS = ("customers", "sellers", "products", "dates", "geolocation")
+# ~0.5 GB of fact rows per file: large range partitions split into several files
+MAX_RECORDS_PER_FILE = 5_000_000
 VIEW_NAMES = {
     "customers": "dim_customers", "sellers": "dim_sellers", "products": "dim_products",
     "dates": "dim_date", "geolocation": "dim_geolocation", "fact": "fact_orders",
@@ -159,6 +161,7 @@ def write_warehouse(wh: Warehouse, path: str) -> None:
      .withColumn("purchase_year", F.year("order_purchase_timestamp"))
      .withColumn("purchase_month", F.month("order_purchase_timestamp"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy("purchase_year", "purchase_month")
      .parquet(f"{path}/fact_orders"))
 
