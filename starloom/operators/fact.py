@@ -46,10 +46,11 @@ def _key_lookup(dim: DataFrame, natural: str, key: str, bound: int, alias: str |
 def fact_orders(raw: RawTables, dims) -> DataFrame:
     """One row per ordered item, plus one row for an order without items.
 
-    Plan shape: the order-grain lookups (customer key, date keys, delivery
-    metrics) run on orders before the 1:N expansion.  The order side, the
-    item side and the payment and review rollups all hash on ``order_id``:
-    one shuffle per input, every join after it is co-partitioned.
+    Plan shape: everything per order (customer key, date keys, delivery
+    metrics, payment and review rollups) is joined at order grain, where
+    every key is unique, and the salted 1:N expansion to items comes last.
+    The order side and the rollups hash on ``order_id`` once and join
+    co-partitioned.
     """
     o = raw.orders
     dates = dims.dates.select("date_key", "full_date")
@@ -71,15 +72,15 @@ def fact_orders(raw: RawTables, dims) -> DataFrame:
         (d2d - est).alias("delivery_delay_days"),
         "order_purchase_timestamp",
         F.col("order_delivered_customer_date").alias("order_delivered_timestamp"))
+    orders = (orders.join(payments_per_order(raw), "order_id", "left")
+                    .join(reviews_per_order(raw), "order_id", "left"))
+
     items = (raw.items
              .join(_key_lookup(dims.sellers, "seller_id", "seller_key", raw.bound("sellers")), "seller_id", "left")
              .join(_key_lookup(dims.products, "product_id", "product_key", raw.bound("products")), "product_id", "left")
              .select("order_id", "seller_key", "product_key", "price", "freight_value"))
 
-    # The per-order rollups join after the expansion: joined before it they
-    # would be planned once per branch of the inner/anti pair (Catalyst
-    # pushes the anti join below them), aggregating the payments twice.
-    fact = (left_join_expand(orders, items, "order_id")
-            .join(payments_per_order(raw), "order_id", "left")
-            .join(reviews_per_order(raw), "order_id", "left"))
+    # The 1:N expansion is the last join: nothing after it hashes on
+    # order_id again, so a hot order stays split (see left_join_expand).
+    fact = left_join_expand(orders, items, "order_id", raw.bound("items"))
     return fact.select(*FACT_COLUMNS)

@@ -18,16 +18,39 @@ def lookup_side(df: DataFrame, row_bound: int, limit: int | None = None) -> Data
     return F.broadcast(df) if row_bound <= limit else df
 
 
-def left_join_expand(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` LEFT JOIN ``right`` where ``left`` has one row per key and
-    ``right`` many (1:N expansion).
+# A key with more rows than this on the many side is split into salted
+# buckets of about this many rows each.
+HOT_KEY_ROWS = 1_000_000
+MAX_SALTS = 100_000
+
 
-    A plain left outer join cannot split a hot key on its right side (the
-    unmatched left rows would repeat).  Written as inner join + anti join:
-    AQE may split a skewed key on either side of the inner join, and the
-    anti join only sees distinct keys, pre-aggregated map-side.
+def left_join_expand(left: DataFrame, right: DataFrame, key: str, row_bound: int) -> DataFrame:
+    """``left`` LEFT JOIN ``right`` where ``left`` has one row per key and
+    ``right`` many (1:N expansion), safe when one key holds a third of all
+    rows.
+
+    * Per-key row counts of ``right`` (combined map-side) find the hot keys:
+      more than ``HOT_KEY_ROWS`` rows.  There are at most
+      ``row_bound / HOT_KEY_ROWS`` of them, a proven bound for broadcasting.
+    * A hot key's ``right`` rows are spread over ceil(n / HOT_KEY_ROWS) salt
+      buckets by a hash of the whole row, and its single ``left`` row is
+      replicated once per bucket; other keys use salt 0.  The join on
+      (key, salt) then gives no task more than about ``HOT_KEY_ROWS`` rows
+      of one key.
+    * Keys of ``left`` absent from ``right`` come from a left join with the
+      same per-key counts (one row per key on both sides).
     """
-    matched = left.join(right, key, "inner")
-    keys = right.select(key).distinct()
-    unmatched = left.join(keys, key, "left_anti")
+    per_key = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = per_key.where(F.col("_n") > HOT_KEY_ROWS).select(
+        key, F.least(F.ceil(F.col("_n") / HOT_KEY_ROWS), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
+    hot = lookup_side(hot, max(1, row_bound // HOT_KEY_ROWS))
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    lhs = (left.join(hot, key, "left")
+               .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
+    rhs = (right.join(hot, key, "left")
+                .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), salts).cast("int"))
+                .drop("_salts"))
+    matched = lhs.join(rhs, [key, "_salt"], "inner").drop("_salt")
+    present = per_key.select(key, F.lit(True).alias("_present"))
+    unmatched = left.join(present, key, "left").where(F.col("_present").isNull()).drop("_present")
     return matched.unionByName(unmatched, allowMissingColumns=True)

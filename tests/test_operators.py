@@ -32,12 +32,16 @@ def test_surrogate_key_paths_agree(spark):
     assert small[0] == 1 and small[2997] == len(ids)
 
 
-def test_left_join_expand_equals_left_join(spark):
+def test_left_join_expand_equals_left_join(spark, monkeypatch):
+    import starloom.operators.joins as J
     left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
     right = spark.createDataFrame([(1, 10), (1, 11)] + [(2, i) for i in range(50)], "k int, w int")
-    a = sorted(map(tuple, left_join_expand(left, right, "k").select("k", "v", "w").collect()), key=str)
     b = sorted(map(tuple, left.join(right, "k", "left").select("k", "v", "w").collect()), key=str)
+    a = sorted(map(tuple, left_join_expand(left, right, "k", 52).select("k", "v", "w").collect()), key=str)
     assert a == b and len(a) == 53
+    monkeypatch.setattr(J, "HOT_KEY_ROWS", 10)  # key 2 becomes hot: 5 salt buckets
+    a = sorted(map(tuple, left_join_expand(left, right, "k", 52).select("k", "v", "w").collect()), key=str)
+    assert a == b
 
 
 def test_exact_median_matches_numpy_on_all_paths(spark):
