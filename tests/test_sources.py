@@ -59,3 +59,16 @@ def test_malformed_rows_counted(spark):
         fh.write("review_id,order_id,review_score\nr1,o1,5\nr2,o2\nr3,o3,4,extra\nr4,o4,1\n")
     r = malformed_rows(spark, path).first()
     assert r.rows == 4 and r.malformed_rows == 2
+
+
+def test_csv_payment_rollup_is_hash_aggregated(spark):
+    folder = tempfile.mkdtemp(prefix="starloom-csv-agg-")
+    for name, text in ROWS.items():
+        with open(os.path.join(folder, FILES[name]), "w", encoding="utf-8") as fh:
+            fh.write(text)
+    from starloom.operators.fact import payments_per_order
+    df = payments_per_order(raw_from_csv(spark, folder))
+    got = {r.order_id: (r.payment_type, str(r.payment_value), r.payment_installments) for r in df.collect()}
+    assert got == {"o1": ("voucher", "48.71", 4)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
