@@ -12,6 +12,9 @@ from .joins import lookup_side
 from .keys import with_surrogate_key
 
 
+COORD = "decimal(38,12)"
+
+
 def dim_customers(raw: RawTables) -> DataFrame:
     df = raw.customers.select(
         "customer_id", "customer_city", "customer_state",
@@ -57,7 +60,9 @@ def dim_date(raw: RawTables) -> DataFrame:
 
 def dim_geolocation(raw: RawTables) -> DataFrame:
     """Mean coordinates per (zip, city, state); rows with a NULL key part are
-    dropped, as a group-by over them would."""
+    dropped, as a group-by over them would.  Coordinates are summed as
+    decimal(38,12) (exact, order-free) and divided once, so the mean does not
+    depend on how rows are partitioned."""
     g = raw.geolocation.select(
         F.col("geolocation_zip_code_prefix").alias("zip_code"),
         F.col("geolocation_city").alias("city"),
@@ -65,6 +70,7 @@ def dim_geolocation(raw: RawTables) -> DataFrame:
         F.col("geolocation_lat").alias("latitude"),
         F.col("geolocation_lng").alias("longitude"))
     keys = ["zip_code", "city", "state"]
-    g = g.dropna(subset=keys).groupBy(*keys).agg(
-        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
+    def mean(c):
+        return (F.sum(F.col(c).cast(COORD)).cast("double") / F.count(c)).alias(c)
+    g = g.dropna(subset=keys).groupBy(*keys).agg(mean("latitude"), mean("longitude"))
     return with_surrogate_key(g, "geo_key", keys, raw.bound("geolocation"))

@@ -95,7 +95,8 @@ dim_date AS (
           UNION ALL SELECT CAST(order_delivered_customer_date AS DATE) FROM raw_orders) WHERE d IS NOT NULL)),
 dim_geolocation AS (
   SELECT row_number() OVER (ORDER BY zip_code, city, state) AS geo_key, zip_code, city, state,
-         avg(latitude) AS latitude, avg(longitude) AS longitude
+         CAST(sum(CAST(latitude AS DECIMAL(38,12))) AS DOUBLE) / count(latitude) AS latitude,
+         CAST(sum(CAST(longitude AS DECIMAL(38,12))) AS DOUBLE) / count(longitude) AS longitude
   FROM raw_geolocation WHERE zip_code IS NOT NULL AND city IS NOT NULL AND state IS NOT NULL
   GROUP BY zip_code, city, state),
 orders_level AS (
