@@ -39,8 +39,18 @@ def left_join_expand(left: DataFrame, right: DataFrame, key: str, row_bound: int
       of one key.
     * Keys of ``left`` absent from ``right`` come from a left join with the
       same per-key counts (one row per key on both sides).
+    * When no key is hot (checked with one key-only aggregation) the plain
+      inner join is used: it stays co-partitioned with ``left``.
     """
     per_key = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    present = per_key.select(key, F.lit(True).alias("_present"))
+    unmatched = left.join(present, key, "left").where(F.col("_present").isNull()).drop("_present")
+    # One key-only aggregation decides the plan: without a hot key the plain
+    # join stays co-partitioned with ``left`` (no extra exchange of the wide
+    # side); salting is paid only when some key is hot.
+    largest = per_key.agg(F.max("_n")).first()[0] or 0
+    if largest <= HOT_KEY_ROWS:
+        return left.join(right, key, "inner").unionByName(unmatched, allowMissingColumns=True)
     hot = per_key.where(F.col("_n") > HOT_KEY_ROWS).select(
         key, F.least(F.ceil(F.col("_n") / HOT_KEY_ROWS), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
     hot = lookup_side(hot, max(1, row_bound // HOT_KEY_ROWS))
@@ -51,6 +61,4 @@ def left_join_expand(left: DataFrame, right: DataFrame, key: str, row_bound: int
                 .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), salts).cast("int"))
                 .drop("_salts"))
     matched = lhs.join(rhs, [key, "_salt"], "inner").drop("_salt")
-    present = per_key.select(key, F.lit(True).alias("_present"))
-    unmatched = left.join(present, key, "left").where(F.col("_present").isNull()).drop("_present")
     return matched.unionByName(unmatched, allowMissingColumns=True)
