@@ -48,7 +48,8 @@ def left_join_expand(left: DataFrame, right: DataFrame, key: str, row_bound: int
     # One key-only aggregation decides the plan: without a hot key the plain
     # join stays co-partitioned with ``left`` (no extra exchange of the wide
     # side); salting is paid only when some key is hot.
-    largest = per_key.agg(F.max("_n")).first()[0] or 0
+    # (skipped when the whole side is provably no bigger than one hot key)
+    largest = 0 if row_bound <= HOT_KEY_ROWS else (per_key.agg(F.max("_n")).first()[0] or 0)
     if largest <= HOT_KEY_ROWS:
         return left.join(right, key, "inner").unionByName(unmatched, allowMissingColumns=True)
     hot = per_key.where(F.col("_n") > HOT_KEY_ROWS).select(
