@@ -3,9 +3,9 @@
 Documents are tokenised (ids plus one end id) and cut into pieces of at most
 ``capacity`` tokens.  Pieces are dealt evenly, by a hash of (document, piece),
 to shards of about ``SHARD_PIECES`` pieces each; in a shard the pieces go, longest first, each
-into the open sequence (or a new one) that leaves the sum over residual gaps g
-of N(g)^2 smallest, N(g) being the number of open sequences with gap g.  Ties
-go to the smaller gap.  A shard leaves at most a few sequences part-filled, so
+into the open sequence that leaves the sum over residual gaps g of N(g)^2
+smallest, N(g) being the number of open sequences with gap g; a new sequence is
+opened where none fits.  Ties go to the smaller gap.  A shard leaves at most a few sequences part-filled, so
 the loss is a small constant per some thousand pieces at every size.
 
 Only pieces (id, start, length, checksum) are shuffled, never texts or ids.
@@ -151,21 +151,22 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Sum-of-squares placement of pieces in the order given: (sequence,
-    offset) per piece."""
+    offset) per piece.  A new sequence is opened only where no open one has
+    room, so that longest-first order fills sequences tightly."""
     n_open = np.zeros(capacity + 1, np.int64)      # N(g); gap 0 is closed and stays 0
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     made = 0
     for i, size in enumerate(lengths.tolist()):
-        # Halved change of the sum of squares for every gap that is in use.
-        after = n_open[:capacity + 1 - size].copy()
-        after[0] = -1                              # closing adds no square: -N(g) - 1 + 1/2 ...
-        delta = after - n_open[size:]
-        delta[n_open[size:] == 0] = np.iinfo(np.int64).max
-        # ... against N(capacity - size) for a new sequence, on the same scale (+1/2 - 1).
-        fresh = n_open[capacity - size] - 1 if size < capacity else -1
-        gap = int(np.argmin(delta)) + size
-        if delta[gap - size] <= fresh and n_open[gap]:
+        room = np.flatnonzero(n_open[size:])       # gaps in use that fit, less the size
+        if len(room):
+            # Moving one sequence from gap g to g - size changes the sum of
+            # squares by 2 (N(g - size) - N(g) + 1); closing one (g = size) by
+            # 1 - 2 N(g), which ranks just below N(g - size) = 0.
+            change = 2 * (n_open[room] - n_open[size + room] + 1)
+            if room[0] == 0:
+                change[0] = 1 - 2 * n_open[size]
+            gap = int(room[np.argmin(change)]) + size
             bin_id = open_bins[gap].pop()
             n_open[gap] -= 1
         else:
