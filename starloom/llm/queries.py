@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, packing, secrets
+from . import chat, line_dedup, packing, quality, secrets, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,17 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"),
                                   tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    counted = storage.materialise(quality.with_counts(docs).drop("text"), "quality-counts")
+    return quality.judge(counted).select(
+        "doc_id", *[F.col(f"__q_{c}").alias(c) for c in quality.COUNTS[:5]], "base_failed", "kept", "quality")
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return line_dedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
