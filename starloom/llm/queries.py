@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, jaccard, line_dedup, packing, quality, secrets, storage
+from . import chat, context_tree, jaccard, line_dedup, packing, quality, secrets, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op7_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
