@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, context_tree, jaccard, line_dedup, packing, quality, secrets, storage
+from . import ann, chat, context_tree, html_text, jaccard, line_dedup, packing, quality, secrets, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,15 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
