@@ -49,10 +49,9 @@ class WordTokenizer:
     _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"       # no apostrophe, no < | > (special tokens)
     _LETTERS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+")
 
-    def __init__(self, path: str):
+    def __init__(self, content: str):
         from tokenizers import Tokenizer
-        with open(path, encoding="utf-8") as f:
-            self.tokenizer = Tokenizer.from_str(f.read())
+        self.tokenizer = Tokenizer.from_str(content)
         self.model = self.tokenizer.model
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -113,23 +112,26 @@ class WordTokenizer:
         return ends[offsets], flat[gather_runs(starts[codes], per_word)]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[int, WordTokenizer] = {}
 
 
-def tokenizer_for(path: str) -> WordTokenizer:
+def tokenizer_for(content: str) -> WordTokenizer:
     """One tokenizer per Python worker and file; its cache is bounded."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    key = zlib.crc32(content.encode())
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = WordTokenizer(content)
+    return _TOKENIZERS[key]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    with open(tokenizer_path, encoding="utf-8") as f:
+        content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(batches):
-        tokenizer = tokenizer_for(tokenizer_path)
+        tokenizer = tokenizer_for(content.value)
         for part, texts in blocks(batches, "__text", BLOCK):
             offsets, ids = tokenizer.encode(texts)
             doc_ids, rows = column(part, "__id").to_pylist(), []

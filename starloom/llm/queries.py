@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann, chat, context_tree, html_text, jaccard, line_dedup, packing, quality, secrets, storage
+from . import ann, chat, context_tree, html_text, jaccard, line_dedup, packing, quality, secrets, sentencepiece_trie, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,12 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = sentencepiece_trie.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), model)
+    decoded = sentencepiece_trie.decode(encoded, model)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "n_byte_ids", "ids_crc32",
+                          (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
