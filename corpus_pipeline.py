@@ -22,7 +22,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or that the voting rules reject go."""
     counted = storage.checkpointed(quality.with_counts(docs))
-    return quality.judge(counted).where("kept").select(*docs.columns)
+    return quality.judge(counted).where("__q_kept").select(*docs.columns)
 
 
 def cross_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,7 +66,8 @@ class Index:
 
     def nearest(self, x: np.ndarray, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of the centroid graph for all rows of ``x`` at once:
-        (found (rows, lists) bool, distances, inf where never visited).  A row
+        (visited and within ``ratio`` (rows, lists) bool, distances, inf where
+        never visited).  A row
         ends when its best unexpanded node is beyond ``ratio`` x its nearest,
         or beyond the ``beam`` nearest found."""
         n, lists = len(x), len(self.centroids)
@@ -77,6 +78,9 @@ class Index:
             cos = np.einsum("rd,rkd->rk", x[rows], self.centroids[nodes])
             distance[rows[:, None], nodes] = np.sqrt(np.maximum(2 - 2 * cos, 0))
 
+        def reach(known):
+            return known.min(axis=1) * ratio + 1e-12 if np.isfinite(ratio) else np.full(len(known), np.finfo(float).max)
+
         rows = np.arange(n)
         visit(rows, np.broadcast_to(self.entries, (n, len(self.entries))))
         while len(rows):
@@ -84,7 +88,7 @@ class Index:
             best = open_.argmin(axis=1)
             value = open_[np.arange(len(rows)), best]
             known = distance[rows]
-            limit = known.min(axis=1) * ratio + 1e-12
+            limit = reach(known)
             if beam < lists:
                 limit = np.minimum(limit, np.partition(known, beam - 1, axis=1)[:, beam - 1])
             # a row goes on while it has found less than a beam, or its next node is inside
@@ -93,8 +97,7 @@ class Index:
             expanded[rows, best] = True
             if len(rows):
                 visit(rows, self.graph[best])
-        found = distance <= distance.min(axis=1, keepdims=True) * ratio + 1e-12
-        return found, distance
+        return distance <= reach(distance)[:, None], distance
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """(rows, lists) bool: the lists a vector is stored in."""

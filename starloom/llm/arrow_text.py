@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -35,7 +35,8 @@ def blocks(batches, text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.Re
     for batch in batches:
         if not batch.num_rows:
             continue
-        offsets, _ = buffers(texts_of(column(batch, text)))
+        sizes = pc.fill_null(pc.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
@@ -43,6 +44,7 @@ def blocks(batches, text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.Re
             part = batch.slice(start, end - start)
             yield part, texts_of(column(part, text))
             start = end
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -67,8 +69,9 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 def gather_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of every run, one run after another."""
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out
 
 
 def word_list(words: pa.Array) -> list[str]:

@@ -30,13 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import blocks, buffers, column, split_words, texts_of
+from .arrow_text import blocks, buffers, column, gather_runs, split_words, texts_of
 from .storage import materialise
 
 DEPTH = 4
 RARITY = 14
 END = 255
-BLOCK = 24 << 20
+BLOCK = 8 << 20
+GRAM_BLOCK = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,26 +52,36 @@ def padded(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     lengths = np.diff(offsets)
     firsts = offsets[:-1] + np.arange(1, len(lengths) + 1) * depth + np.arange(len(lengths))
     out = np.full(len(raw) + len(lengths) * (depth + 1), END, np.uint8)
-    shift = np.repeat(firsts - offsets[:-1], lengths)
-    out[np.arange(len(raw)) + shift] = raw
+    out[gather_runs(firsts, lengths)] = raw
     return out, firsts, lengths + 1
 
 
+def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[starts], np.add.reduceat(counts[order], starts)
+
+
 def gram_counts(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (depth+1)-byte grams, context first, as integers, and counts."""
-    data, firsts, lengths = padded(texts, depth)
-    if not len(lengths):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    scored = np.ones(len(data), bool)
-    for d in range(depth):
-        scored[firsts - depth + d] = False
-    at = np.flatnonzero(scored)
-    grams = np.zeros(len(at), np.int64)
-    for d in range(depth, -1, -1):
-        grams = grams << 8 | data[at - d]
-    grams.sort()
-    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    return grams[starts], np.diff(np.append(starts, len(grams)))
+    offsets, _ = buffers(texts)
+    seen = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    start = 0
+    while start < len(texts):                   # row ranges of bounded size
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + GRAM_BLOCK, side="right")) - 1)
+        data, firsts, lengths = padded(texts_of(texts.slice(start, end - start)), depth)
+        at = gather_runs(firsts, lengths)
+        grams = np.zeros(len(at), np.int64)
+        for d in range(depth, -1, -1):
+            grams <<= 8
+            grams |= data[at - d]
+        grams.sort()
+        starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        seen.append((grams[starts], np.diff(np.append(starts, len(grams)))))
+        start = end
+    grams, counts = (np.concatenate(x) for x in zip(*seen))
+    return _summed(grams, counts) if len(grams) else (grams, counts)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -157,7 +168,7 @@ class ContextTree:
         data, firsts, lengths = padded(texts, self.depth)
         out = np.zeros(len(lengths))
         child, log10 = self.child.reshape(-1), self.log10.reshape(-1)
-        step = 4 << 20                          # positions per pass, to bound memory
+        step = 1 << 20                          # positions per pass, to bound memory
         ends = firsts + lengths
         row = 0
         while row < len(lengths):

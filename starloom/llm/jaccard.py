@@ -20,9 +20,9 @@ verified against the list's smallest member; links give labels (connected
 components).  Only lists that still hold several labels are looked at again,
 and only pairs of different labels, one of them not the leader's, that the
 triangle inequality of the Jaccard distance through the leader leaves possible.
-Candidates are pruned by an exact upper bound of the overlap (bucket counts of
-the two sets) and verified on the full sets, recomputed from the texts of the
-candidates alone.
+An exact upper bound of the overlap (bucket counts of the two sets) prunes the
+candidates, in the join itself for the second look; the rest are verified on
+the full sets, recomputed from the texts of the candidates alone.
 
 Defined results: null and empty texts have no n-grams and are linked with
 nothing; fewer words than n give one n-gram, the whole sequence; doc_id is
@@ -43,7 +43,7 @@ from .components import components
 from .storage import checkpointed, materialise
 
 SUBCLASSES = 16
-REPORT_TOKENS = 4_000_000   # tokens after which a task reports repeated ones
+REPORT_TOKENS = 2_000_000   # tokens after which a task reports repeated ones
 FREQUENT = 8                # reported documents from which a token counts as frequent
 MAX_FREQUENT = 1 << 20      # the most frequent tokens kept (8 MB); the rest count as rare
 BUCKETS = 64
@@ -121,9 +121,8 @@ class Scheme:
         return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def _histogram(tokens: np.ndarray) -> bytes:
-    counts = np.bincount((_mix(tokens.view(np.uint64)) >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
-    return np.minimum(counts, 2**31 - 1).astype("<i4").tobytes()
+def _histogram(tokens: np.ndarray) -> np.ndarray:
+    return np.bincount((_mix(tokens.view(np.uint64)) >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
 
 
 def frequent_tokens(texts: DataFrame, n: int) -> np.ndarray:
@@ -174,14 +173,15 @@ def _signed(texts: DataFrame, n: int, scheme: Scheme, frequent) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [column(part, "__id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array([_histogram(s) for s in sets], pa.binary()),
+                 pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BUCKETS,
+                                          np.concatenate([_histogram(s) for s in sets]).astype(np.int32)),
                  pa.ListArray.from_arrays(np.cumsum([0, *map(len, sigs)]).astype(np.int32),
                                           np.concatenate(sigs) if sigs else np.zeros(0, np.int64))],
                 names=["doc", "n", "digest", "buckets", "signatures"])
 
     id_type = texts.schema["__id"].dataType.simpleString()
     return texts.select("__id", "__text").mapInArrow(
-        sign, f"doc {id_type}, n long, digest binary, buckets binary, signatures array<long>")
+        sign, f"doc {id_type}, n long, digest binary, buckets array<int>, signatures array<long>")
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _prune(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<i4").reshape(-1, BUCKETS) for c in ("ba", "bb"))
+            x, y = (column(batch, c).flatten().to_numpy().reshape(-1, BUCKETS) for c in ("ba", "bb"))
             shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             union = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - shared
             keep = pa.array(scheme.den * shared >= scheme.num * union)
@@ -233,9 +233,9 @@ def _prune(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
     return joined.select("a", "b", "ba", "bb").mapInArrow(possible, f"a {kind}, b {kind}")
 
 
-def _verify(texts: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, scheme: Scheme) -> DataFrame:
-    """(a, b, similarity, linked) of the pairs that the bucket counts leave."""
-    left = checkpointed(_prune(pairs, classes, scheme).distinct())
+def _verify(texts: DataFrame, pairs: DataFrame, n: int, scheme: Scheme) -> DataFrame:
+    """(a, b, similarity, linked) of distinct pairs, from their full sets."""
+    left = checkpointed(pairs)
     nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     sets = materialise(_sets_of(texts, nodes, n), "candidate-sets")
     both = (left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(postings.join(lists, "signature"), "postings")
     led = (members.where((F.col("node") != F.col("leader")) & close(F.col("n"), F.col("leader_n")))
            .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    first = _verify(texts, led, classes, n, scheme)
+    first = _verify(texts, _prune(led, classes, scheme), n, scheme)
     links = first.where("linked").select("a", "b")
     labels = components(links)
 
@@ -282,16 +282,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                              F.min(F.struct("node", "label")).alias("first"))
              .where("low < high").select("signature", F.col("first.label").alias("leader_label")))
     near = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity")
-    rest = materialise(tagged.join(mixed, "signature").join(near, ["leader", "node"], "left")
-                       .where("node <> leader"), "mixed-postings")
-    odd = rest.where("label <> leader_label").select("signature", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "label", "similarity")])
+    rest = materialise(tagged.join(mixed, "signature").join(near, ["leader", "node"], "left").where("node <> leader")
+                       .join(classes.select("node", "buckets"), "node"), "mixed-postings")
+    odd = rest.where("label <> leader_label").select(
+        "signature", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "label", "similarity", "buckets")])
+    # the triangle inequality through the leader rules the pair out
     apart = F.coalesce(F.abs(F.col("similarity") - F.col("similarity_x")) > (1 - num / den) + 1e-9, F.lit(False))
     # a pair of two odd members comes from both sides: keep it once
     once = (F.col("label") == F.col("leader_label")) | (F.col("node_x") < F.col("node"))
-    crossed = (rest.join(odd, "signature")
-               .where((F.col("label") != F.col("label_x")) & close(F.col("n"), F.col("n_x")) & ~apart & once)
+    bound = F.aggregate(F.zip_with("buckets", "buckets_x", F.least), F.lit(0), lambda total, x: total + x)
+    crossed = (rest.join(odd, (rest["signature"] == odd["signature"]) & (F.col("label") != F.col("label_x"))
+                         & close(F.col("n"), F.col("n_x")) & ~apart & once
+                         & (scheme.den * bound >= scheme.num * (F.col("n") + F.col("n_x") - bound)))
                .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
-    second = _verify(texts, checkpointed(crossed), classes, n, scheme)
+    second = _verify(texts, crossed, n, scheme)
     labels = components(links.unionByName(second.where("linked").select("a", "b")))
 
     named = classes.select("digest", "node").join(labels, "node", "left").select(

@@ -57,7 +57,7 @@ def spread_lines(lines: DataFrame, min_sites: int, band: float, lg_k: int) -> Da
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
                        min_sites: int = 8, band: float = 0.1, lg_k: int = 12, most: float = 0.5) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text_col``, and two more
-    columns: ``n_lines`` (lines with a word) and ``n_removed`` (long)."""
+    columns: ``__l_n_lines`` (lines with a word) and ``__l_n_removed`` (long)."""
     lines = materialise(line_table(docs, id_col, text_col, site_col), "lines")
     spread = spread_lines(lines, min_sites, band, lg_k)
     marked = (lines.join(spread, ["h1", "h2"], "left_semi")
@@ -77,5 +77,5 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_lines = F.size(F.filter("__l_lines", lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__l_cut"), F.lit(0)).cast("long").alias("n_removed"))
+        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("__l_n_lines"),
+        F.coalesce(F.size("__l_cut"), F.lit(0)).cast("long").alias("__l_n_removed"))

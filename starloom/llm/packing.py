@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .arrow_text import blocks, column, gather_runs, split_words, word_list
 
 SHARD_PIECES = 8192
-CACHE = 400_000
-BLOCK = 24 << 20
+CACHE = 250_000
+BLOCK = 8 << 20
 
 
 class WordTokenizer:

@@ -10,7 +10,7 @@ computed inside the row: nothing but one number per document is shuffled.
 Defined results: a null or empty text has zero counts, fails the base rule and
 is rejected; repeated rows are counted and judged each; an empty table gives an
 empty result; other columns pass unchanged (columns named ``__q_*`` are
-reserved for the counts).
+reserved).
 """
 
 from __future__ import annotations
@@ -184,14 +184,14 @@ def fit(patterns: list[tuple[int, int]], n_rules: int, rounds: int = 200, tolera
 
 
 def judge(counted: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Adds ``quality`` (posterior probability of good), ``base_failed`` and
-    ``kept`` to rows with counts.  ``counted`` is read twice and should be a
-    stored table."""
+    """Adds ``__q_quality`` (posterior probability of good), ``__q_base_failed``
+    and ``__q_kept`` to rows with counts.  ``counted`` is read twice and should
+    be a stored table."""
     spark = counted.sparkSession
-    coded = counted.withColumn("__q_pattern", pattern_code()).withColumn("base_failed", base_failed())
+    coded = counted.withColumn("__q_pattern", pattern_code()).withColumn("__q_base_failed", base_failed())
     # bounded by 3^rules rows
     patterns = [(r[0], r[1]) for r in coded.groupBy("__q_pattern").count().collect()]
     fitted = fit(patterns, len(rules()))
-    table = spark.createDataFrame(sorted(fitted.items()), "__q_pattern int, quality double")
+    table = spark.createDataFrame(sorted(fitted.items()), "__q_pattern int, __q_quality double")
     return (coded.join(F.broadcast(table), "__q_pattern", "left")
-            .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)))
+            .withColumn("__q_kept", ~F.col("__q_base_failed") & (F.col("__q_quality") >= threshold)))

@@ -63,13 +63,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     counted = storage.materialise(quality.with_counts(docs).drop("text"), "quality-counts")
     return quality.judge(counted).select(
-        "doc_id", *[F.col(f"__q_{c}").alias(c) for c in quality.COUNTS[:5]], "base_failed", "kept", "quality")
+        "doc_id", *[F.col(f"__q_{c}").alias(c) for c in quality.COUNTS[:5]], *[F.col(f"__q_{c}").alias(c) for c in ("base_failed", "kept", "quality")])
 
 
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return line_dedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.remove_boilerplate(docs).select(
+        "doc_id", F.col("__l_n_lines").alias("n_lines"), F.col("__l_n_removed").alias("n_removed"), "text")
 
 
 @query

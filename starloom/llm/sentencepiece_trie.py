@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from .arrow_text import blocks, column, gather_runs
 
 MARK = "▁"
-CACHE = 300_000
-PAIRS = 2_000_000
+CACHE = 200_000
+PAIRS = 500_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -211,7 +211,9 @@ class Encoder:
         """Texts of the id sequences ``ids[offsets[i]:offsets[i + 1]]``."""
         model = self.model
         lengths = model.surface_length[ids]
-        data = model.surface[gather_runs(model.surface_start[ids], lengths)].tobytes()
+        step = 500_000                                  # ids per gather, to bound memory
+        data = b"".join(model.surface[gather_runs(model.surface_start[ids[a:a + step]], lengths[a:a + step])].tobytes()
+                        for a in range(0, len(ids), step))
         ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
         out = []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
