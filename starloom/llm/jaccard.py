@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = F.coalesce(F.abs(F.col("similarity") - F.col("similarity_x")) > (1 - num / den) + 1e-9, F.lit(False))
     # a pair of two odd members comes from both sides: keep it once
     once = (F.col("label") == F.col("leader_label")) | (F.col("node_x") < F.col("node"))
-    bound = F.aggregate(F.zip_with("buckets", "buckets_x", F.least), F.lit(0), lambda total, x: total + x)
+    bound = F.aggregate(F.zip_with("buckets", "buckets_x", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
     crossed = (rest.join(odd, (rest["signature"] == odd["signature"]) & (F.col("label") != F.col("label_x"))
                          & close(F.col("n"), F.col("n_x")) & ~apart & once
                          & (scheme.den * bound >= scheme.num * (F.col("n") + F.col("n_x") - bound)))
