@@ -15,11 +15,12 @@ prefixes).  Sets too small to extend index single tokens; sets near that size
 index both ways.  Any choice of frequent tokens gives the same result; it only
 sets the length of the posting lists.
 
-Posting lists.  No list is turned into all its pairs.  Every member is first
-verified against the list's smallest member; links give labels (connected
-components).  Only lists that still hold several labels are looked at again,
-and only pairs of different labels, one of them not the leader's, that the
-triangle inequality of the Jaccard distance through the leader leaves possible.
+Posting lists.  No list is turned into all its pairs.  Lists are cut into size
+bands, and members without a partner of a fitting size leave.  Every member is
+first verified against its band's smallest member (leader); links give labels
+(connected components).  Only lists that still hold several labels are looked
+at again, and only pairs of different labels that the sizes and the triangle
+inequality of the Jaccard distance through a leader leave possible.
 An exact upper bound of the overlap (bucket counts of the two sets) prunes the
 candidates, in the join itself for the second look; the rest are verified on
 the full sets, recomputed from the texts of the candidates alone.
@@ -264,11 +265,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def close(x: Column, y: Column) -> Column:
         return scheme.den * F.least(x, y) >= scheme.num * F.greatest(x, y)
 
+    # Lists: postings of one signature, cut by size into bands a factor den/num
+    # wide, so that similar sets lie in one band or in two adjacent ones.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num) * (1 + 1e-9))).cast("int")
     postings = classes.select("node", "n", F.explode("signatures").alias("signature"))
-    lists = (postings.groupBy("signature").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last"))
-             .where(F.col("first.node") < F.col("last"))
-             .select("signature", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n")))
-    members = materialise(postings.join(lists, "signature"), "postings")
+    shared = (postings.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+              .where("low < high").select("signature"))
+    members = materialise(postings.join(shared, "signature").withColumn("band", band), "postings")
+    cells = members.groupBy("signature", "band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first"))
+    around = (cells.select("signature", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), "size")
+              .groupBy("signature", "band").agg(F.sum("size").alias("around")).where("around > 1").select("signature", "band"))
+    cells = cells.join(around, ["signature", "band"]).select(
+        "signature", "band", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
+    members = materialise(members.join(cells, ["signature", "band"]), "banded-postings")
+
     led = (members.where((F.col("node") != F.col("leader")) & close(F.col("n"), F.col("leader_n")))
            .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     first = _verify(texts, _prune(led, classes, scheme), n, scheme)
@@ -280,18 +290,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("signature", "node", "n", "leader", "label"))
     mixed = (tagged.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                              F.min(F.struct("node", "label")).alias("first"))
-             .where("low < high").select("signature", F.col("first.label").alias("leader_label")))
+             .where("low < high").select("signature", F.col("first.label").alias("first_label")))
     near = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity")
-    rest = materialise(tagged.join(mixed, "signature").join(near, ["leader", "node"], "left").where("node <> leader")
+    rest = materialise(tagged.join(mixed, "signature").join(near, ["leader", "node"], "left")
                        .join(classes.select("node", "buckets"), "node"), "mixed-postings")
-    odd = rest.where("label <> leader_label").select(
-        "signature", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "label", "similarity", "buckets")])
-    # the triangle inequality through the leader rules the pair out
-    apart = F.coalesce(F.abs(F.col("similarity") - F.col("similarity_x")) > (1 - num / den) + 1e-9, F.lit(False))
+    # any two different labels differ from the first label once at least
+    odd = rest.where("label <> first_label").select(
+        *[F.col(c).alias(f"{c}_x") for c in ("signature", "node", "n", "label", "leader", "similarity", "buckets")])
+    # the triangle inequality through a leader of both rules the pair out
+    apart = (F.col("leader") == F.col("leader_x")) & F.coalesce(
+        F.abs(F.col("similarity") - F.col("similarity_x")) > (1 - num / den) + 1e-9, F.lit(False))
     # a pair of two odd members comes from both sides: keep it once
-    once = (F.col("label") == F.col("leader_label")) | (F.col("node_x") < F.col("node"))
+    once = (F.col("label") == F.col("first_label")) | (F.col("node_x") < F.col("node"))
     bound = F.aggregate(F.zip_with("buckets", "buckets_x", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-    crossed = (rest.join(odd, (rest["signature"] == odd["signature"]) & (F.col("label") != F.col("label_x"))
+    crossed = (rest.join(odd, (F.col("signature") == F.col("signature_x")) & (F.col("label") != F.col("label_x"))
                          & close(F.col("n"), F.col("n_x")) & ~apart & once
                          & (scheme.den * bound >= scheme.num * (F.col("n") + F.col("n_x") - bound)))
                .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
