@@ -16,10 +16,11 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .plans.adhoc import adhoc_sql
 from .plans.warehouse import Warehouse, read_warehouse, write_warehouse
-from .sources.csv import raw_from_csv
+from .sources.csv import FILES, MULTI_LINE, malformed_rows, raw_from_csv
 from .sources.raw import raw_from_testdata
 
 
@@ -34,15 +35,19 @@ def _session() -> SparkSession:
 def cmd_load(spark, a):
     raw = raw_from_csv(spark, a.csv) if a.csv else raw_from_testdata(spark, a.tables)
     write_warehouse(Warehouse(raw), a.warehouse)
+    if a.csv:
+        for name, file in FILES.items():
+            r = malformed_rows(spark, f"{a.csv.rstrip('/')}/{file}", multi_line=name in MULTI_LINE).first()
+            print(json.dumps({"file": file, "rows": r["rows"], "malformed_rows": r["malformed_rows"]}))
 
 
 def cmd_segments(spark, a):
     from .models import segments as S
     wh = read_warehouse(spark, a.warehouse)
-    vecs, _ = S.segment_vectors(wh, min_orders=a.min_orders, log=a.log)
+    vecs, scaler = S.segment_vectors(wh, min_orders=a.min_orders, log=a.log)
     model = S.fit_kmeans(vecs, k=a.k, n_init=a.n_init)
     assigned = S.assign_segments(model, vecs)
-    S.save(model, S.segment_names(assigned), f"{a.out}/model")
+    S.save(model, S.segment_names(assigned), scaler, f"{a.out}/model", log=a.log)
     assigned.select("customer_id", "cluster", "segment").write.mode("overwrite").parquet(f"{a.out}/assignments")
     S.segment_summary(assigned).write.mode("overwrite").parquet(f"{a.out}/summary")
 
@@ -51,13 +56,12 @@ def cmd_reviews(spark, a):
     from .models import review_classifier as RC
     wh = read_warehouse(spark, a.warehouse)
     rows = RC.labelled_rows(wh, a.variant).cache()
-    settings = RC.FIXED_SETTINGS
     if a.variant == "tuned" and a.search:
-        ranked = RC.search(rows).first()
-        settings = json.loads(ranked["settings"])
-    model = RC.fit(rows, a.variant, settings, early_stopping=(a.variant == "tuned"))
+        model = RC.search_and_refit(rows)
+    else:
+        model = RC.fit(rows, a.variant, RC.FIXED_SETTINGS, early_stopping=(a.variant == "tuned"))
     RC.save(model, f"{a.out}/model")
-    RC.evaluate(model, rows).write.mode("overwrite").parquet(f"{a.out}/metrics")
+    RC.evaluate(model, rows, wh.bound("items")).write.mode("overwrite").parquet(f"{a.out}/metrics")
 
 
 def cmd_forecast(spark, a):
@@ -66,8 +70,9 @@ def cmd_forecast(spark, a):
 
 
 def cmd_query(spark, a):
-    for line in adhoc_sql(spark, read_warehouse(spark, a.warehouse), a.sql, a.cap).toJSON().collect():
-        print(line)  # bounded by the cap
+    rows = adhoc_sql(spark, read_warehouse(spark, a.warehouse), a.sql, a.cap)
+    for row in rows.select(F.to_json(F.struct(*rows.columns))).toLocalIterator():
+        print(row[0])
 
 
 def main(argv=None):
@@ -97,7 +102,7 @@ def main(argv=None):
     s = sub.add_parser("query")
     s.add_argument("--warehouse", required=True)
     s.add_argument("--sql", required=True)
-    s.add_argument("--cap", type=int, default=100)
+    s.add_argument("--cap", type=int, help="rows at most; a truncated flag tells whether there were more")
     a = p.parse_args(argv)
     spark = _session()
     {"load": cmd_load, "segments": cmd_segments, "reviews": cmd_reviews, "forecast": cmd_forecast,

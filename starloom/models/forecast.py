@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import iso_date_text
 from ..operators import marts, series
+from ..session import ensure_checkpoint_dir
 
 WEEKLY_ORDER = 3
 YEARLY_ORDER = 10
@@ -67,12 +68,18 @@ def _features(df: DataFrame, start: str, span: float, knots: list) -> tuple[Data
     return out, trend, weekly, yearly, ["total_orders"]
 
 
-def training_series(wh) -> DataFrame:
-    """Delivered daily revenue with incomplete boundary days removed."""
-    daily = series.trim_boundary_days(marts.daily_sales(wh))
-    # one row per day: bounded by the calendar, one partition is plenty
-    return daily.coalesce(1).select("ds", F.col("revenue").cast("double").alias("y"),
-                        F.col("total_orders").cast("double").alias("total_orders")).where(F.col("y").isNotNull())
+def day_series(wh) -> DataFrame:
+    """Delivered revenue and orders per day, stored: one scan of the fact for
+    everything a forecast needs.  A calendar, whatever the order volume."""
+    ensure_checkpoint_dir(wh.dates.sparkSession)
+    return marts.daily_sales(wh).checkpoint(eager=True)
+
+
+def training_series(days: DataFrame) -> DataFrame:
+    """``day_series`` with incomplete boundary days removed."""
+    return series.trim_boundary_days(days).select(
+        "ds", F.col("revenue").cast("double").alias("y"), F.col("total_orders").cast("double").alias("total_orders")
+    ).where(F.col("y").isNotNull())
 
 
 def fit(history: DataFrame) -> Forecaster:
@@ -111,24 +118,23 @@ def predict(fc: Forecaster, frame: DataFrame) -> DataFrame:
 
 def forecast(wh, days: int = 30) -> DataFrame:
     """The next ``days`` days: ds (text), yhat, yhat_lower, yhat_upper."""
-    history = training_series(wh)
-    fc = fit(history)
-    orders = marts.daily_orders(wh)
-    future = series.future_regressor(orders, days).where(F.col("is_future"))
+    daily = day_series(wh)
+    fc = fit(training_series(daily))
+    future = series.future_regressor(daily.select("ds", "total_orders"), days).where(F.col("is_future"))
     pred = predict(fc, future.select("ds", "total_orders"))
-    return pred.select(iso_date_text("ds").alias("ds"), "yhat", "yhat_lower", "yhat_upper")
+    return pred.select(iso_date_text("ds").alias("ds"), "yhat", "yhat_lower", "yhat_upper").orderBy("ds")
 
 
 def components(wh) -> DataFrame:
-    history = training_series(wh)
+    history = training_series(day_series(wh))
     fc = fit(history)
-    return predict(fc, history).select("ds", "y", "yhat", "trend", "weekly", "yearly", "extra_regressors")
+    return predict(fc, history).select("ds", "y", "yhat", "trend", "weekly", "yearly", "extra_regressors").orderBy("ds")
 
 
 def holdout_error(wh, days: int = HOLDOUT_DAYS) -> DataFrame:
     """MAE / RMSE / MAPE / R^2 of the model on the last ``days`` days,
     fitted on the days before them."""
-    history = training_series(wh)
+    history = training_series(day_series(wh))
     last = history.agg(F.max("ds")).first()[0]
     cut = F.date_sub(F.lit(last), days)
     fc = fit(history.where(F.col("ds") <= cut))

@@ -22,6 +22,7 @@ SEGMENT_FEATURES = [
     "avg_review_score", "avg_delay", "total_installments", "unique_categories",
     "price_per_day", "freight_ratio",
 ]
+# The spend columns that are logged.
 LOG_FEATURES = ["total_spent", "avg_order_value", "price_per_day"]
 
 
@@ -66,14 +67,11 @@ def customer_features(wh, min_orders: int = 1, with_dates: bool = True) -> DataF
 def customer_rfm(feats: DataFrame) -> DataFrame:
     """Recency (days before the latest purchase of anyone) and lifetime
     (first to last purchase), both in floor days.  The global latest
-    purchase is one scalar aggregate, passed as a literal."""
-    latest = feats.agg(F.max("last_purchase").cast("string")).first()[0]
-    # the scalar travels as text and is parsed back as a zone-less timestamp,
-    # so neither the session nor the Python time zone can shift it
-    latest_ts = F.lit(latest).cast("timestamp_ntz")
-    return feats.select(
+    purchase is a one-row aggregate of the same plan."""
+    latest = F.broadcast(feats.agg(F.max("last_purchase").alias("_latest")))  # one row
+    return feats.join(latest, F.lit(True), "left").select(
         "customer_id", "last_purchase", "first_purchase",
-        floor_days(F.col("last_purchase"), latest_ts).alias("recency"),
+        floor_days(F.col("last_purchase"), F.col("_latest")).alias("recency"),
         floor_days("first_purchase", "last_purchase").alias("customer_lifetime_days"))
 
 
@@ -82,16 +80,29 @@ def log_spend(feats: DataFrame, cols: list[str] = LOG_FEATURES) -> DataFrame:
     return feats.select(*[F.log1p(c).alias(c) if c in cols else F.col(c) for c in feats.columns])
 
 
-def standardize(feats: DataFrame, cols: list[str] = SEGMENT_FEATURES, keep: list[str] = ("customer_id",)):
-    """Z-scores with the population standard deviation after filling NULLs
-    with 0; a constant column is divided by 1.  Means and deviations are one
-    aggregate row.  Returns (scaled frame, {col: (mean, std)})."""
-    filled = feats.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                     *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
-    params = {}
-    for c in cols:
-        m, s = row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 0.0
-        params[c] = (m, s if s > 0 else 1.0)
-    scaled = filled.select(*keep, *[((F.col(c) - F.lit(params[c][0])) / F.lit(params[c][1])).alias(c) for c in cols])
-    return scaled, params
+def _filled(feats: DataFrame, cols: list[str], keep) -> DataFrame:
+    return feats.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+
+
+def fit_scaler(feats: DataFrame, cols: list[str] = SEGMENT_FEATURES) -> dict[str, tuple[float, float]]:
+    """{column: (mean, population standard deviation)} after filling NULLs with
+    0; a constant column gets deviation 1.  One aggregate row."""
+    row = _filled(feats, cols, []).agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                                       *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    return {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in cols}
+
+
+def apply_scaler(feats: DataFrame, params: dict[str, tuple[float, float]], keep=("customer_id",)) -> DataFrame:
+    """Z-scores under fitted parameters, for the fitted rows or new ones."""
+    return _filled(feats, list(params), keep).select(
+        *keep, *[((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, (m, s) in params.items()])
+
+
+def standardize(feats: DataFrame, cols: list[str] = SEGMENT_FEATURES, keep=("customer_id",)):
+    """Z-scores of ``feats`` in one plan (its one-row aggregate is joined, not
+    fetched); see ``fit_scaler`` for the rules."""
+    filled = _filled(feats, cols, keep)
+    stats = F.broadcast(filled.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
+                                   *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{c}") for c in cols]))
+    return filled.join(stats, F.lit(True), "left").select(
+        *keep, *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) for c in cols])

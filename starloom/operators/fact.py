@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.calendar import floor_days
 from ..sources.raw import RawTables
 from .joins import left_join_expand, lookup_side
-from .keys import with_surrogate_key
 
+# Columns of the fact table, in order.
 FACT_COLUMNS = [
     "order_id", "customer_key", "seller_key", "product_key", "order_date_key",
     "delivered_date_key", "order_status", "price", "freight_value", "payment_value",
@@ -21,39 +20,14 @@ FACT_COLUMNS = [
 
 
 def payments_per_order(raw: RawTables) -> DataFrame:
-    """Per order: total value, most installments, first non-NULL type.
-
-    All three combine map-side (partial aggregation).  "First" is the type
-    of the lowest payment sequence among rows with a type.  When the
-    sequence is one integer (the marketplace files), (sequence, type code)
-    is packed into one long so the whole rollup is a hash aggregation;
-    otherwise the minimum of (sequence struct, type) is taken, which Spark
-    runs as a sort-based aggregation.
-    """
-    p = raw.payments
-    seq_fields = p.schema["payment_sequence"].dataType.fields
-    totals = [F.sum("payment_value").cast("decimal(18,2)").alias("payment_value"),
-              F.max("payment_installments").cast("int").alias("payment_installments")]
-    if len(seq_fields) == 1 and isinstance(seq_fields[0].dataType, (T.ByteType, T.ShortType, T.IntegerType)):
-        bound = raw.bound("payments")
-        codes = with_surrogate_key(p.select("payment_type").where(F.col("payment_type").isNotNull()).distinct(),
-                                   "_code", ["payment_type"], bound)
-        seq = F.col("payment_sequence")[seq_fields[0].name].cast("long")
-        packed = F.when(F.col("_code").isNotNull(), seq * PACK + F.col("_code"))
-        g = (p.join(lookup_side(codes, bound), "payment_type", "left")
-              .groupBy("order_id").agg(*totals, F.min(packed).alias("_first")))
-        back = lookup_side(codes.select(F.col("_code").alias("_first_code"), "payment_type"), bound)
-        return (g.withColumn("_first_code", F.pmod(F.col("_first"), F.lit(PACK)))
-                 .join(back, "_first_code", "left")
-                 .select("order_id", "payment_value", "payment_installments", "payment_type"))
-    first = F.min(F.when(F.col("payment_type").isNotNull(),
-                         F.struct("payment_sequence", "payment_type")))
-    return p.groupBy("order_id").agg(*totals, first["payment_type"].alias("payment_type"))
-
-
-# (sequence, type code) -> sequence * PACK + code keeps the sequence order
-# for any 32-bit sequence while codes stay below 2^32.
-PACK = 1 << 32
+    """Per order: total value, most installments, first non-NULL type (the type
+    of the lowest payment sequence among rows with a type).  All three combine
+    map-side, so an order with very many payments is one row per task."""
+    first = F.min(F.when(F.col("payment_type").isNotNull(), F.struct("payment_sequence", "payment_type")))
+    return raw.payments.groupBy("order_id").agg(
+        F.sum("payment_value").cast("decimal(18,2)").alias("payment_value"),
+        F.max("payment_installments").cast("int").alias("payment_installments"),
+        first["payment_type"].alias("payment_type"))
 
 
 def reviews_per_order(raw: RawTables) -> DataFrame:
@@ -71,7 +45,7 @@ def fact_orders(raw: RawTables, dims) -> DataFrame:
 
     Plan shape: everything per order (customer key, date keys, delivery
     metrics, payment and review rollups) is joined at order grain, where
-    every key is unique, and the salted 1:N expansion to items comes last.
+    every key is unique, and the 1:N expansion to items comes last.
     The order side and the rollups hash on ``order_id`` once and join
     co-partitioned.
     """
@@ -83,7 +57,7 @@ def fact_orders(raw: RawTables, dims) -> DataFrame:
 
     orders = (o.withColumn("_od", F.to_date("order_purchase_timestamp"))
                .withColumn("_dd", F.to_date("order_delivered_customer_date"))
-               .join(_key_lookup(dims.customers, "customer_id", "customer_key", raw.bound("customers")),
+               .join(_key_lookup(dims.customers, "customer_id", "customer_key", dims.bound("customers")),
                      "customer_id", "left")
                .join(order_dates, "_od", "left")
                .join(deliv_dates, "_dd", "left"))
@@ -99,8 +73,8 @@ def fact_orders(raw: RawTables, dims) -> DataFrame:
                     .join(reviews_per_order(raw), "order_id", "left"))
 
     items = (raw.items
-             .join(_key_lookup(dims.sellers, "seller_id", "seller_key", raw.bound("sellers")), "seller_id", "left")
-             .join(_key_lookup(dims.products, "product_id", "product_key", raw.bound("products")), "product_id", "left")
+             .join(_key_lookup(dims.sellers, "seller_id", "seller_key", dims.bound("sellers")), "seller_id", "left")
+             .join(_key_lookup(dims.products, "product_id", "product_key", dims.bound("products")), "product_id", "left")
              .select("order_id", "seller_key", "product_key", "price", "freight_value"))
 
     # The 1:N expansion is the last join: nothing after it hashes on

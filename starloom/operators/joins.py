@@ -21,7 +21,6 @@ def lookup_side(df: DataFrame, row_bound: int, limit: int | None = None) -> Data
 # A key with more rows than this on the many side is split into salted
 # buckets of about this many rows each.
 HOT_KEY_ROWS = 1_000_000
-MAX_SALTS = 100_000
 
 
 def left_join_expand(left: DataFrame, right: DataFrame, key: str, row_bound: int) -> DataFrame:
@@ -29,37 +28,23 @@ def left_join_expand(left: DataFrame, right: DataFrame, key: str, row_bound: int
     ``right`` many (1:N expansion), safe when one key holds a third of all
     rows.
 
-    * Per-key row counts of ``right`` (combined map-side) find the hot keys:
-      more than ``HOT_KEY_ROWS`` rows.  There are at most
-      ``row_bound / HOT_KEY_ROWS`` of them, a proven bound for broadcasting.
-    * A hot key's ``right`` rows are spread over ceil(n / HOT_KEY_ROWS) salt
-      buckets by a hash of the whole row, and its single ``left`` row is
-      replicated once per bucket; other keys use salt 0.  The join on
-      (key, salt) then gives no task more than about ``HOT_KEY_ROWS`` rows
-      of one key.
-    * Keys of ``left`` absent from ``right`` come from a left join with the
-      same per-key counts (one row per key on both sides).
-    * When no key is hot (checked with one key-only aggregation) the plain
-      inner join is used: it stays co-partitioned with ``left``.
+    Without a hot key (more than ``HOT_KEY_ROWS`` rows on the right) this is
+    the plain left join, co-partitioned with ``left``; one key-only aggregation
+    finds out, and none where the whole side is provably no bigger than one
+    hot key.  Hot keys, at most ``row_bound / HOT_KEY_ROWS`` of them, are
+    joined apart: their right rows are spread over ceil(n / HOT_KEY_ROWS) salts
+    by a hash of the whole row and their one left row is repeated per salt, so
+    no task gets more than about ``HOT_KEY_ROWS`` rows of a key.
     """
-    per_key = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    present = per_key.select(key, F.lit(True).alias("_present"))
-    unmatched = left.join(present, key, "left").where(F.col("_present").isNull()).drop("_present")
-    # One key-only aggregation decides the plan: without a hot key the plain
-    # join stays co-partitioned with ``left`` (no extra exchange of the wide
-    # side); salting is paid only when some key is hot.
-    # (skipped when the whole side is provably no bigger than one hot key)
-    largest = 0 if row_bound <= HOT_KEY_ROWS else (per_key.agg(F.max("_n")).first()[0] or 0)
-    if largest <= HOT_KEY_ROWS:
-        return left.join(right, key, "inner").unionByName(unmatched, allowMissingColumns=True)
-    hot = per_key.where(F.col("_n") > HOT_KEY_ROWS).select(
-        key, F.least(F.ceil(F.col("_n") / HOT_KEY_ROWS), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
-    hot = lookup_side(hot, max(1, row_bound // HOT_KEY_ROWS))
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    lhs = (left.join(hot, key, "left")
-               .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
-    rhs = (right.join(hot, key, "left")
-                .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), salts).cast("int"))
-                .drop("_salts"))
-    matched = lhs.join(rhs, [key, "_salt"], "inner").drop("_salt")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    per_key = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_KEY_ROWS)
+    if row_bound <= HOT_KEY_ROWS or per_key.isEmpty():
+        return left.join(right, key, "left")
+    hot = lookup_side(per_key.select(key, F.ceil(F.col("_n") / HOT_KEY_ROWS).cast("int").alias("_salts")),
+                      max(1, row_bound // HOT_KEY_ROWS))
+    cold = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, "left")
+    lhs = (left.join(hot, key)
+           .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts"))
+    rhs = (right.join(hot, key)
+           .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.col("_salts")).cast("int"))
+           .drop("_salts"))
+    return cold.unionByName(lhs.join(rhs, [key, "_salt"]).drop("_salt"))

@@ -3,7 +3,7 @@
 Two exact strategies, picked by a proven row bound:
 
 * small (bound <= ``local_limit``): ``row_number`` over a global order, which
-  Spark runs in one task -- fine for a calendar or a few million keys;
+  Spark runs in one task -- fine for a calendar or a small dimension;
 * large: range-partition on the key, number rows inside each partition,
   and add the row count of all earlier partitions.  The per-partition counts
   are one row per partition, so broadcasting them is bounded by the
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
-LOCAL_LIMIT = 5_000_000
+LOCAL_LIMIT = 200_000
 
 
 def with_surrogate_key(df: DataFrame, key: str, order: list[str], row_bound: int,
@@ -45,3 +45,14 @@ def _distributed_key(df: DataFrame, key: str, order: list[str], num_partitions:
     numbered = ranged.join(F.broadcast(offsets), "_kp")
     position = F.col("_ki") - F.shiftleft(F.col("_kp").cast("long"), 33)
     return numbered.select((F.col("_ko") + position + 1).cast("long").alias(key), *df.columns)
+
+
+def with_stored_keys(df: DataFrame, stored: DataFrame, key: str, natural: list[str], order: list[str],
+                     row_bound: int) -> DataFrame:
+    """Rows of ``df`` whose natural key is not in ``stored`` yet, numbered on
+    from the largest stored key, as a SERIAL would.  Stored rows keep their
+    keys, so facts that point to them stay right."""
+    new = df.join(stored.select(*natural), natural, "left_anti").drop(key)
+    last = stored.agg(F.max(key)).first()[0] or 0
+    numbered = with_surrogate_key(new, key, order, row_bound)
+    return numbered.withColumn(key, F.col(key) + F.lit(last)).select(*stored.columns)

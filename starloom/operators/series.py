@@ -26,9 +26,14 @@ def trailing_mean(daily: DataFrame, col: str = "total_orders", rows: int = TRAIL
     return daily.select("ds", col, F.avg(col).over(w).alias(f"trailing_{rows}"))
 
 
+def _last_rows_mean(daily: DataFrame, col: str, rows: int) -> DataFrame:
+    """One row: mean of ``col`` over the last ``rows`` days of history."""
+    return daily.orderBy(F.col("ds").desc()).limit(rows).agg(F.avg(col).alias("fill"))
+
+
 def last_rows_mean(daily: DataFrame, col: str = "total_orders", rows: int = TRAILING_ROWS) -> float | None:
     """Mean of ``col`` over the last ``rows`` days of history: one scalar."""
-    return daily.orderBy(F.col("ds").desc()).limit(rows).agg(F.avg(col)).first()[0]
+    return _last_rows_mean(daily, col, rows).first()[0]
 
 
 def future_calendar(daily: DataFrame, days: int = HORIZON_DAYS) -> DataFrame:
@@ -40,13 +45,13 @@ def future_calendar(daily: DataFrame, days: int = HORIZON_DAYS) -> DataFrame:
 
 
 def future_regressor(daily: DataFrame, days: int = HORIZON_DAYS, rows: int = TRAILING_ROWS) -> DataFrame:
-    """Calendar joined to known order counts; unknown (future) days get the
-    mean of the last ``rows`` history rows."""
-    fill = last_rows_mean(daily, "total_orders", rows)
-    cal = future_calendar(daily, days)
-    j = cal.join(daily.select("ds", "total_orders"), "ds", "left")
-    return j.select("ds", "is_future",
-                    F.coalesce(F.col("total_orders").cast("double"), F.lit(fill).cast("double")).alias("total_orders"))
+    """Calendar joined to known order counts, in date order; unknown (future)
+    days get the mean of the last ``rows`` history rows."""
+    fill = F.broadcast(_last_rows_mean(daily, "total_orders", rows))  # one row
+    known = daily.select("ds", "total_orders")
+    return (future_calendar(daily, days).join(known, "ds", "left").join(fill, F.lit(True), "left")
+            .select("ds", "is_future", F.coalesce(F.col("total_orders").cast("double"), F.col("fill")).alias("total_orders"))
+            .orderBy("ds"))
 
 
 def trim_boundary_days(daily: DataFrame, col: str = "total_orders",

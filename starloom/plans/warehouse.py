@@ -2,9 +2,10 @@
 
 ``Warehouse`` holds the five dimensions and the fact as DataFrames built
 from raw sources; nothing runs until a mart or a write asks for rows.
-``write_warehouse`` overwrites dimensions and replaces fact partitions
-(purchase year/month) dynamically, so a re-run never duplicates rows;
-``read_warehouse`` reads it back with partition pruning available.
+``write_warehouse`` loads into a folder that may hold earlier loads: stored
+dimension rows and their keys stay, new natural keys are numbered on, and the
+orders of this load replace themselves only, so loads can be repeated and
+appended; ``read_warehouse`` reads it back with partition pruning available.
 """
 
 from __future__ import annotations
@@ -18,12 +19,18 @@ from pyspark.sql import functions as F
 
 from ..operators import dims as D
 from ..operators.fact import FACT_COLUMNS, fact_orders
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..operators.keys import with_stored_keys
+from ..session import ensure_checkpoint_dir, path_exists, shuffle_partitions
 from ..sources.raw import RawTables, raw_from_testdata
 
 DIMENSIONS = ("customers", "sellers", "products", "dates", "geolocation")
 # ~0.5 GB of fact rows per file: large range partitions split into several files
 MAX_RECORDS_PER_FILE = 5_000_000
+NATURAL_KEYS = {
+    "customers": ("customer_key", ["customer_id"]), "sellers": ("seller_key", ["seller_id"]),
+    "products": ("product_key", ["product_id"]), "dates": ("date_key", ["full_date"]),
+    "geolocation": ("geo_key", ["zip_code", "city", "state"]),
+}
 VIEW_NAMES = {
     "customers": "dim_customers", "sellers": "dim_sellers", "products": "dim_products",
     "dates": "dim_date", "geolocation": "dim_geolocation", "fact": "fact_orders",
@@ -131,42 +138,70 @@ def loaded_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
         return _LOADED[key]
 
 
+def _write_dimension(wh: Warehouse, plan: DataFrame, attr: str, path: str) -> None:
+    """First load: the dimension as built.  Later loads append the rows with
+    new natural keys only."""
+    spark, target = plan.sparkSession, f"{path}/{VIEW_NAMES[attr]}"
+    if not path_exists(spark, f"{target}/_SUCCESS"):
+        plan.write.mode("overwrite").parquet(target)
+        return
+    key, natural = NATURAL_KEYS[attr]
+    # a calendar is small whatever the load
+    bound = 0 if attr == "dates" else wh.bound(attr)
+    new = with_stored_keys(plan, spark.read.parquet(target), key, natural, natural, bound)
+    new = new.checkpoint(eager=True)            # read from the folder that is written to
+    if not new.isEmpty():
+        new.write.mode("append").parquet(target)
+
+
 def write_warehouse(wh: Warehouse, path: str) -> None:
-    """Idempotent write: dimensions overwrite; the fact is partitioned by
-    purchase year/month and only the partitions present are replaced.
+    """Load ``wh`` into ``path``.  The fact is partitioned by purchase
+    year/month; only the months of this load are rewritten, keeping the stored
+    rows of other orders in them.
 
     Dimensions are written first and the fact's key lookups read them back
     (as the loader of a database would), so no dimension is computed twice.
     """
     spark = wh.customers.sparkSession
+    ensure_checkpoint_dir(spark)
     plans = {attr: getattr(wh, attr) for attr in DIMENSIONS}  # defined once, on this thread
     # the five dimension writes are independent: run them as concurrent jobs
     with ThreadPoolExecutor(max_workers=len(plans)) as pool:
-        list(pool.map(lambda a: plans[a].write.mode("overwrite").parquet(f"{path}/{VIEW_NAMES[a]}"), plans))
-    written = Warehouse(wh.raw, {attr: spark.read.parquet(f"{path}/{VIEW_NAMES[attr]}") for attr in DIMENSIONS})
+        list(pool.map(lambda a: _write_dimension(wh, plans[a], a, path), plans))
+    written = Warehouse(None, {attr: spark.read.parquet(f"{path}/{VIEW_NAMES[attr]}") for attr in DIMENSIONS})
     # an already-loaded fact is copied as is; otherwise it is built on the
     # written dimensions
-    fact = wh._tables["fact"] if "fact" in wh._tables else written.fact
-    # Range-partitioning on the purchase time gives each write task a
+    fact = wh._tables["fact"] if "fact" in wh._tables else fact_orders(wh.raw, written)
+    fact = fact.select(*FACT_COLUMNS)
+    months = [F.year("order_purchase_timestamp").alias("purchase_year"), F.month("order_purchase_timestamp").alias("purchase_month")]
+    target, last, kept = f"{path}/fact_orders", None, None
+    if path_exists(spark, target):          # (a dynamic overwrite leaves no _SUCCESS)
+        stored = spark.read.parquet(target)
+        last = stored.agg(F.max("order_key")).first()[0]
+        # the months of the load (a calendar) prune the stored partitions
+        touched = F.broadcast(wh.raw.orders.select(*months).distinct()) if wh.raw is not None else F.broadcast(fact.select(*months).distinct())
+        kept = (stored.join(touched, ["purchase_year", "purchase_month"], "left_semi")
+                .join(fact.select("order_id"), "order_id", "left_anti")
+                .select("order_key", *FACT_COLUMNS).checkpoint(eager=True))
+    # Range-partitioning on every sort column gives each write task a
     # contiguous slice of time: few month folders per task, few files per
-    # folder, and a busy month is split over several tasks.  Dynamic
-    # partition overwrite replaces only the months present in this load.
+    # folder, and a busy month or a hot order is split over several tasks.
     # ``order_key`` (the fact's SERIAL) is assigned inside each sorted range
     # partition: unique, rising with purchase time like insertion order,
     # with gaps between partitions as a SERIAL may have; no extra sort of the
     # fact.  A retried task re-sorts its rows to the same total order, so
     # it writes the same keys.
     order = ["order_purchase_timestamp", "order_id", "product_key", "seller_key", "price", "freight_value"]
-    (fact
-     .repartitionByRange(shuffle_partitions(spark), "order_purchase_timestamp", "order_id")
-     .sortWithinPartitions(*order)
-     .select(F.monotonically_increasing_id().alias("order_key"), *[c for c in fact.columns if c != "order_key"])
-     .withColumn("purchase_year", F.year("order_purchase_timestamp"))
-     .withColumn("purchase_month", F.month("order_purchase_timestamp"))
+    start = F.lit(0 if last is None else last + 1).cast("long")
+    rows = (fact.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+            .select((start + F.monotonically_increasing_id()).alias("order_key"), *FACT_COLUMNS))
+    if kept is not None:
+        rows = rows.unionByName(kept)
+    (rows.select("*", *months)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy("purchase_year", "purchase_month")
-     .parquet(f"{path}/fact_orders"))
+     .parquet(target))
 
 
 def read_warehouse(spark: SparkSession, path: str, raw: RawTables | None = None) -> Warehouse:

@@ -2,8 +2,7 @@
 
 Fitted models are memoised per session and data folder, so the queries
 that read one model (segments, summaries, profiles, PCA) fit it once.
-Classifier queries use small boosting settings (20 trees, depth 4) to stay
-quick in checks; the library defaults are the reference settings.
+Classifier queries use the full settings (300 trees of depth 6).
 """
 
 from __future__ import annotations
@@ -11,21 +10,21 @@ from __future__ import annotations
 import threading
 import uuid
 
-from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models import forecast as FC
 from ..models import review_classifier as RC
 from ..models import segments as S
 from ..operators import reviews as R
+from ..operators.customers import customer_features
 from ..plans.catalog import register
 from ..plans.oracle import oracle
 from ..plans.warehouse import DIMENSIONS, VIEW_NAMES, loaded_warehouse, read_warehouse, write_warehouse
 from ..session import ensure_checkpoint_dir
-
-CHECK_SETTINGS = {"max_depth": 4, "learning_rate": 0.05, "n_estimators": 20, "subsample": 0.8,
-                  "colsample_bytree": 0.8}
+from .features import REVIEW_BASE_CTE
 
 _MEMO: dict = {}
 _LOCK = threading.RLock()
@@ -42,9 +41,9 @@ def _memo(spark, sf_dir, name, build):
 def _segments(spark, sf_dir):
     def build():
         wh = loaded_warehouse(spark, sf_dir)
-        vecs, _ = S.segment_vectors(wh)
+        vecs, scaler = S.segment_vectors(wh)
         model = S.fit_kmeans(vecs)
-        return vecs, model, S.assign_segments(model, vecs).cache()
+        return vecs, model, S.assign_segments(model, vecs).cache(), scaler
     return _memo(spark, sf_dir, "segments", build)
 
 
@@ -52,7 +51,7 @@ def _segments(spark, sf_dir):
 
 @register("customer_segments")
 def q_customer_segments(spark, sf_dir):
-    _, _, assigned = _segments(spark, sf_dir)
+    assigned = _segments(spark, sf_dir)[2]
     return assigned.select("customer_id", "cluster", "segment")
 
 
@@ -60,11 +59,11 @@ def q_customer_segments(spark, sf_dir):
 def q_segment_summary(spark, sf_dir):
     """Serving path: persist model + scaler, load them back, assign every
     customer, summarise per segment."""
-    vecs, model, assigned = _segments(spark, sf_dir)
+    _, model, assigned, scaler = _segments(spark, sf_dir)
     path = f"{ensure_checkpoint_dir(spark)}/starloom-segments-{uuid.uuid4().hex}"
-    S.save(model, S.segment_names(assigned), path)
-    loaded, names = S.load(spark, path)
-    return S.segment_summary(S.assign_segments(loaded, vecs, names))
+    S.save(model, S.segment_names(assigned), scaler, path)
+    feats = customer_features(loaded_warehouse(spark, sf_dir), with_dates=False)
+    return S.segment_summary(S.score_customers(spark, path, feats))
 
 
 @register("cluster_sizes")
@@ -81,7 +80,7 @@ def q_cluster_profile(spark, sf_dir):
 def q_silhouette(spark, sf_dir):
     """Euclidean silhouette on a 10,000-customer sample (the reference's
     measure) and the squared-Euclidean silhouette over all customers."""
-    vecs, model, assigned = _segments(spark, sf_dir)
+    _, model, assigned, _ = _segments(spark, sf_dir)
     sample = S.silhouette_sample(assigned)
     full = S.silhouette(assigned)
     return spark.createDataFrame(
@@ -91,8 +90,7 @@ def q_silhouette(spark, sf_dir):
 
 @register("kmeans_elbow")
 def q_kmeans_elbow(spark, sf_dir):
-    vecs, _, _ = _segments(spark, sf_dir)
-    return S.elbow(vecs)
+    return S.elbow(_segments(spark, sf_dir)[0])
 
 
 @register("customer_pca")
@@ -109,38 +107,37 @@ def _rows(spark, sf_dir, variant):
 
 def _model(spark, sf_dir, variant):
     return _memo(spark, sf_dir, f"model-{variant}",
-                 lambda: RC.fit(_rows(spark, sf_dir, variant), variant, CHECK_SETTINGS,
-                                early_stopping=(variant == "tuned")))
+                 lambda: RC.fit(_rows(spark, sf_dir, variant), variant, RC.FIXED_SETTINGS))
+
 
+def _onehot_sql(c):
+    """0/1 digits, one per sorted level but the first."""
+    levels = f"(SELECT DISTINCT COALESCE({c}, 'unknown') AS v FROM base)"
+    return (f"(SELECT string_agg(CASE WHEN v = COALESCE(b.{c}, 'unknown') THEN '1' ELSE '0' END, '' ORDER BY v) "
+            f"FROM {levels} WHERE v > (SELECT min(v) FROM {levels})) AS {c}_onehot")
 
-@register("review_onehot")
+
+@register("review_onehot", oracle(
+    f"SELECT order_id, product_key, seller_key, {', '.join(map(_onehot_sql, R.CATEGORICAL))} FROM base b", REVIEW_BASE_CTE))
 def q_review_onehot(spark, sf_dir):
-    rows = R.review_features(loaded_warehouse(spark, sf_dir))
-    stages = RC._stages("tuned", CHECK_SETTINGS, False)[0][:-2]
-    enc = Pipeline(stages=stages).fit(rows).transform(rows)
-    return enc.select(*R.IDS, *[vector_to_array(f"{c}_oh").alias(f"{c}_onehot") for c in R.CATEGORICAL])
+    """Drop-first indicators of the tuned variant's categoricals, as one digit
+    per level."""
+    rows = R.review_features(loaded_warehouse(spark, sf_dir), median_price=0.0)
+    sql = RC.indicator_columns(RC.category_levels(rows))
+    return rows.select(*R.IDS, *[F.expr("concat(''" + "".join(f", CAST(CAST({x} AS INT) AS STRING)" for x in sql[c]) + ")").alias(f"{c}_onehot")
+                                 for c in R.CATEGORICAL])
 
 
 @register("review_model_metrics")
 def q_review_model_metrics(spark, sf_dir):
-    out = None
-    for variant in ("tuned", "fixed"):
-        m = RC.evaluate(_model(spark, sf_dir, variant), _rows(spark, sf_dir, variant))
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
-@register("review_search")
-def q_review_search(spark, sf_dir):
-    """The reference's search design (20 sampled settings, 5-fold F1) with
-    the tree count capped at 10 to keep the check quick."""
-    return RC.search(_rows(spark, sf_dir, "tuned"), n_iter=RC.SEARCH_ITERATIONS, folds=RC.CV_FOLDS, max_trees=10,
-                     parallelism=spark.sparkContext.defaultParallelism)
+    bound = loaded_warehouse(spark, sf_dir).bound("items")
+    return reduce(DataFrame.unionByName, [RC.evaluate(_model(spark, sf_dir, v), _rows(spark, sf_dir, v), bound)
+                                          for v in ("tuned", "fixed")])
 
 
 @register("review_cv")
 def q_review_cv(spark, sf_dir):
-    return RC.cross_validate(_rows(spark, sf_dir, "fixed"), "fixed", CHECK_SETTINGS)
+    return RC.cross_validate(_rows(spark, sf_dir, "fixed"), "fixed", RC.FIXED_SETTINGS)
 
 
 @register("feature_importance")

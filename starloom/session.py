@@ -65,12 +65,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, on whatever file system it names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the file or folder ``path``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+
 ROWS_PER_PARTITION = 200_000
 
 
 def sized(df, row_bound: int, rows_per_partition: int = ROWS_PER_PARTITION):
-    """Narrow ``df`` to about ``row_bound / rows_per_partition`` partitions
-    (never more than it has).  Iterative fits scan their cached input many
-    times; hundreds of nearly empty partitions would cost a task each per
-    iteration, while the bound keeps large inputs spread out."""
-    return df.coalesce(max(1, -(-int(row_bound) // rows_per_partition)))
+    """Spread ``df`` evenly over about ``row_bound / rows_per_partition``
+    partitions, one per core at least.  Iterative fits scan their cached input
+    many times: hundreds of nearly empty partitions would cost a task each per
+    iteration, fewer than the cores would leave some idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-int(row_bound) // rows_per_partition)))

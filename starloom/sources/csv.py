@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import parse_timestamp
+from ..session import path_bytes
 from .raw import MONEY, RawTables
 
 # File names of the marketplace dataset.
@@ -29,10 +30,15 @@ FILES = {
 }
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+# Review comments are free text: quoted fields may hold line breaks, so the
+# file can't be split inside (one task per file; the others are splittable).
+MULTI_LINE = frozenset({"reviews"})
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header-named string columns; malformed lines are kept (PERMISSIVE)."""
     return (spark.read.option("header", True).option("inferSchema", False)
-            .option("mode", "PERMISSIVE").option("multiLine", False).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
             .csv(path))
 
 
@@ -41,7 +47,7 @@ def _strip_bom(df: DataFrame) -> DataFrame:
 
 
 def raw_from_csv(spark: SparkSession, folder: str) -> RawTables:
-    t = {name: _strip_bom(read_csv(spark, f"{folder.rstrip('/')}/{f}")) for name, f in FILES.items()}
+    t = {name: _strip_bom(read_csv(spark, f"{folder.rstrip('/')}/{f}", name in MULTI_LINE)) for name, f in FILES.items()}
     customers = t["customers"].select("customer_id", "customer_zip_code_prefix", "customer_city", "customer_state")
     sellers = t["sellers"].select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
     products = t["products"].select(
@@ -69,31 +75,27 @@ def raw_from_csv(spark: SparkSession, folder: str) -> RawTables:
         F.col("geolocation_lat").try_cast("double").alias("geolocation_lat"),
         F.col("geolocation_lng").try_cast("double").alias("geolocation_lng"))
 
-    cache: dict = {}
-
-    def counter(name):
-        def get():
-            if name not in cache:
-                cache[name] = t[name].count()
-            return cache[name]
-        return get
+    def bound(name):
+        # a row of n fields takes n bytes at least (separators and line end):
+        # a proven bound from the file's size alone, without parsing it
+        return lambda: path_bytes(spark, f"{folder.rstrip('/')}/{FILES[name]}") // len(t[name].columns) + 1
 
-    bounds = {name: counter(name) for name in FILES}
+    bounds = {name: bound(name) for name in FILES}
     return RawTables(customers, sellers, products, categories, orders, items, payments, reviews,
                      geolocation, bounds)
 
 
-def malformed_rows(spark: SparkSession, path: str) -> DataFrame:
+def malformed_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Rows, malformed rows (wrong field count) and parsed characters of one
     CSV file: a PERMISSIVE read with a ``_corrupt_record`` column.  The
     character total keeps every field referenced, so every field is parsed
     (Spark refuses a query on the corrupt-record column alone)."""
     from pyspark.sql.types import StringType, StructField, StructType
-    header = [c.lstrip("\ufeff") for c in read_csv(spark, path).columns]
+    header = [c.lstrip("\ufeff") for c in read_csv(spark, path, multi_line).columns]
     schema = StructType([StructField(c, StringType()) for c in header]
                         + [StructField("_corrupt_record", StringType())])
     df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+          .option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", multi_line).option("escape", '"').csv(path))
     chars = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in header]))
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   F.count_if(F.col("_corrupt_record").isNotNull()).alias("malformed_rows"),

@@ -1,12 +1,10 @@
-"""Incremental fact loading with Structured Streaming (S4 as micro-batches).
+"""Incremental loading with Structured Streaming (S4 as micro-batches).
 
-The batch loader appends fact rows in chunks.  Here new order files are a
-file stream; each micro-batch of orders is turned into fact rows with the
-same operators as the batch build (items, payments and reviews are static
-tables, dimension keys come from the loaded dimensions) and written to its
-own ``batch_id=<n>`` folder in overwrite mode.  A micro-batch replayed after
-a failure rewrites exactly its own folder, so the sink is idempotent and
-the result is exactly-once; progress lives in the checkpoint location.
+New order files are a file stream; each micro-batch of orders goes through the
+warehouse load with its items, payments and reviews, so new customers, products
+and days get keys and stored ones keep theirs.  A load replaces its own orders,
+so a micro-batch replayed after a failure adds nothing: the result is
+exactly-once; progress lives in the checkpoint location.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.fact import FACT_COLUMNS, fact_orders
+from ..operators.fact import FACT_COLUMNS
 from ..sources.raw import ORDER_COLUMNS, orders_from_table
 
 
@@ -27,10 +25,11 @@ def order_file_stream(spark: SparkSession, folder: str, pattern: str = "orders*.
 
 
 def start_fact_stream(stream: DataFrame, wh, out_dir: str, checkpoint: str, available_now: bool = True):
-    """Start the loader; ``wh`` supplies static raw tables and dimensions."""
+    """Start the loader into the warehouse folder ``out_dir``; ``wh`` supplies
+    the raw tables beside orders."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        from ..plans.warehouse import Warehouse
+        from ..plans.warehouse import Warehouse, write_warehouse
         batch = batch.persist()
         orders = orders_from_table(batch)
         ids = orders.select("order_id")
@@ -39,9 +38,7 @@ def start_fact_stream(stream: DataFrame, wh, out_dir: str, checkpoint: str, avai
                       items=wh.raw.items.join(ids, "order_id", "left_semi"),
                       payments=wh.raw.payments.join(ids, "order_id", "left_semi"),
                       reviews=wh.raw.reviews.join(ids, "order_id", "left_semi"))
-        dims = {a: getattr(wh, a) for a in ("customers", "sellers", "products", "dates")}
-        fact = fact_orders(raw, Warehouse(raw, dims))
-        fact.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        write_warehouse(Warehouse(raw), out_dir)
         batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
@@ -50,7 +47,7 @@ def start_fact_stream(stream: DataFrame, wh, out_dir: str, checkpoint: str, avai
 
 
 def read_loaded(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(out_dir).select(*FACT_COLUMNS)
+    return spark.read.parquet(f"{out_dir.rstrip('/')}/fact_orders").select(*FACT_COLUMNS)
 
 
 def load_orders_incrementally(spark: SparkSession, wh, folder: str, out_dir: str, checkpoint: str,

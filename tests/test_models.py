@@ -29,10 +29,9 @@ def test_forecast_bounds(queries, spark):
 def test_review_scoring_and_partial_inputs(spark):
     from starloom.models import review_classifier as RC
     from starloom.plans.warehouse import loaded_warehouse
-    from starloom.queries.models import CHECK_SETTINGS
     wh = loaded_warehouse(spark, SF0001)
     rows = RC.labelled_rows(wh, "tuned")
-    model = RC.fit(rows, "tuned", {**CHECK_SETTINGS, "n_estimators": 5}, early_stopping=True)
+    model = RC.fit(rows, "tuned", {**RC.FIXED_SETTINGS, "max_depth": 3, "n_estimators": 5}, early_stopping=True)
     scored = RC.score(model, rows)
     r = scored.agg(F.min("good_review_prob").alias("lo"), F.max("good_review_prob").alias("hi"),
                    F.count(F.lit(1)).alias("n")).first()
@@ -41,6 +40,50 @@ def test_review_scoring_and_partial_inputs(spark):
     partial = rows.select(*RC.R.IDS, "price", "freight_value", "payment_value", "payment_installments",
                           "days_to_deliver", "days_estimated", "delivery_delay_days").limit(3)
     assert RC.score(model, partial).count() == 3
+    # drop-first one-hot: one slot less than levels, and unseen levels are zero
+    assert len(model.feature_names) == len(RC.TUNED_NUMERIC) + sum(len(v) - 1 for v in model.levels.values())
+    unseen = rows.limit(1).withColumn("customer_state", F.lit("nowhere's"))
+    at = {n: i for i, n in enumerate(model.feature_names)}
+    vector = RC.probabilities(model, unseen).first().features.toArray()
+    assert all(vector[i] == 0 for n, i in at.items() if n.startswith("customer_state_"))
+
+
+def test_patience_rule():
+    from starloom.models.review_classifier import patience_rule
+    assert patience_rule([5, 4, 3, 3.5, 3.2, 3.1, 1], patience=3) == 3
+    assert patience_rule([5, 4, 3, 2], patience=2) == 4 and patience_rule([1, 2, 3], patience=2) == 1
+
+
+def test_search_refits_the_best_settings(spark):
+    from starloom.models import review_classifier as RC
+    from starloom.plans.warehouse import loaded_warehouse
+    rows = RC.labelled_rows(loaded_warehouse(spark, SF0001), "tuned").cache()
+    base = {**RC.FIXED_SETTINGS, "n_estimators": 3}
+    model = RC.search_and_refit(rows, folds=2, combos=[{**base, "max_depth": 2}, {**base, "max_depth": 3}])
+    ranked = RC.search(rows, folds=2, combos=[{**base, "max_depth": 2}, {**base, "max_depth": 3}]).collect()
+    assert ranked[0].mean_f1 >= ranked[1].mean_f1 and f'"max_depth": {model.settings["max_depth"]}' in ranked[0].settings
+    assert 1 <= model.settings["trees_kept"] <= 3
+    cv = RC.cross_validate(rows, "tuned", {**base, "max_depth": 2}, folds=2).collect()
+    assert len(cv) == 2 and all(0 <= r.f1 <= 1 for r in cv)
+
+
+def test_new_customers_get_the_same_segments(spark):
+    import tempfile
+    from starloom.models import segments as S
+    from starloom.operators.customers import customer_features
+    from starloom.plans.warehouse import loaded_warehouse
+    wh = loaded_warehouse(spark, SF0001)
+    for log in (False, True):
+        vecs, scaler = S.segment_vectors(wh, log=log)
+        model = S.fit_kmeans(vecs, n_init=2)
+        assigned = S.assign_segments(model, vecs)
+        path = tempfile.mkdtemp(prefix="starloom-segments-")
+        S.save(model, S.segment_names(assigned), scaler, path, log=log)
+        feats = customer_features(wh, with_dates=False)
+        ten = feats.orderBy("customer_id").limit(10)
+        got = {r.customer_id: (r.cluster, r.segment) for r in S.score_customers(spark, path, ten).collect()}
+        want = {r.customer_id: (r.cluster, r.segment) for r in assigned.collect()}
+        assert len(got) == 10 and all(want[c] == v for c, v in got.items())
 
 
 def test_sampled_silhouette_matches_brute_force(spark):

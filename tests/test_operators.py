@@ -76,7 +76,7 @@ def test_roc_auc_equals_pair_count(spark):
     neg = [p for y, p in rows if y == 0]
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     df = spark.createDataFrame(rows, "label int, p double")
-    got = roc_auc(df).first().roc_auc
+    got = roc_auc(df, row_bound=300).first().roc_auc
     got_large = roc_auc(df, row_bound=10**9).first().roc_auc
     assert abs(got - want) < 1e-12 and abs(got_large - want) < 1e-12
 
@@ -100,15 +100,33 @@ def test_class_ranks_balanced_folds(spark):
     assert r.select("class_rank").distinct().count() == 50
 
 
-def test_label_codes_paths_agree(spark):
-    from starloom.operators.reviews import label_codes
+def test_label_codes_paths_agree(spark, monkeypatch):
+    import starloom.operators.reviews as R
     df = spark.createDataFrame([("b", "x"), ("a", None), ("c", "x"), ("a", "y")], "u string, v string")
-    small = {(r.column_name, r.value): r.code for r in label_codes(df, ["u", "v"], bound=4).collect()}
-    large = {(r.column_name, r.value): r.code for r in label_codes(df, ["u", "v"], bound=10**9).collect()}
+    small = {(r.column_name, r.value): r.code for r in R.label_codes(df, ["u", "v"]).collect()}
+    monkeypatch.setattr(R, "LOCAL_LIMIT", 0)
+    monkeypatch.setattr("starloom.operators.keys.LOCAL_LIMIT", 0)
+    large = {(r.column_name, r.value): r.code for r in R.label_codes(df, ["u", "v"]).collect()}
     assert small == large
     assert small == {("u", "a"): 0, ("u", "b"): 1, ("u", "c"): 2, ("v", "unknown"): 0, ("v", "x"): 1, ("v", "y"): 2}
 
 
+def test_classification_report(spark):
+    from starloom.operators.metrics import classification_report
+    df = spark.createDataFrame([(1, 0.9), (1, 0.3), (0, 0.5), (0, 0.1), (0, 0.2)], "label int, p double")
+    r = {x["class"]: x for x in classification_report(df, 0.4).collect()}
+    assert (r["bad"].precision, r["bad"].recall, r["bad"].support) == (2 / 3, 2 / 3, 3)
+    assert (r["good"].precision, r["good"].recall, r["good"].support) == (0.5, 0.5, 2)
+    assert abs(r["weighted avg"].recall - 0.6) < 1e-12 and r["macro avg"].support == 5
+
+
+def test_new_keys_follow_stored_ones(spark):
+    from starloom.operators.keys import with_stored_keys
+    stored = spark.createDataFrame([(1, "b"), (7, "d")], "k long, n string")
+    new = with_stored_keys(spark.createDataFrame([(9, "a"), (9, "b"), (9, "c")], "k long, n string"), stored, "k", ["n"], ["n"], 3)
+    assert sorted((r.k, r.n) for r in new.collect()) == [(8, "a"), (9, "c")]
+
+
 def test_class_ranks_paths_agree(spark):
     rows = [(i, i % 7, i % 3, i % 2) for i in range(1, 301)]
     df = spark.createDataFrame(rows, "order_id long, product_key long, seller_key long, y int")

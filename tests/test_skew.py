@@ -2,6 +2,7 @@
 spreads it over several tasks, and the result is unchanged."""
 
 import datetime as dt
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 def test_hot_order_is_split_and_result_exact(spark, monkeypatch):
     import starloom.operators.joins as J
     from starloom.operators.fact import fact_orders
-    from starloom.plans.warehouse import Warehouse
+    from starloom.plans.warehouse import Warehouse, write_warehouse
     from starloom.sources.raw import RawTables
 
     monkeypatch.setattr(J, "BROADCAST_ROW_LIMIT", 0)
@@ -58,6 +59,10 @@ def test_hot_order_is_split_and_result_exact(spark, monkeypatch):
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
+        path = tempfile.mkdtemp(prefix="starloom-skew-")
+        write_warehouse(Warehouse(raw), path)
+        files = (spark.read.parquet(f"{path}/fact_orders").where(F.col("order_id") == 1)
+                 .groupBy(F.input_file_name().alias("f")).count().collect())
         fact = fact_orders(raw, Warehouse(raw))
         got = fact.groupBy("order_id").count().collect()
         spread = (fact.where(F.col("order_id") == 1).groupBy(F.spark_partition_id().alias("p")).count()
@@ -72,3 +77,5 @@ def test_hot_order_is_split_and_result_exact(spark, monkeypatch):
     assert counts[1] == 6000 and counts[0] == 1 and counts[2] == 30 and len(counts) == 400
     # the hot order's 6000 items are split over 12 salt buckets, not one task
     assert spread.parts > 1 and spread.biggest < 6000
+    # and stay split where the load writes them
+    assert len(files) > 1 and sum(r["count"] for r in files) == 6000

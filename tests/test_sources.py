@@ -61,7 +61,7 @@ def test_malformed_rows_counted(spark):
     assert r.rows == 4 and r.malformed_rows == 2
 
 
-def test_csv_payment_rollup_is_hash_aggregated(spark):
+def test_csv_payment_rollup_needs_no_join(spark):
     folder = tempfile.mkdtemp(prefix="starloom-csv-agg-")
     for name, text in ROWS.items():
         with open(os.path.join(folder, FILES[name]), "w", encoding="utf-8") as fh:
@@ -71,4 +71,19 @@ def test_csv_payment_rollup_is_hash_aggregated(spark):
     got = {r.order_id: (r.payment_type, str(r.payment_value), r.payment_installments) for r in df.collect()}
     assert got == {"o1": ("voucher", "48.71", 4)}
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert "Join" not in plan and "partial_" in plan
+
+
+def test_quoted_line_breaks_stay_inside_a_review(spark):
+    from starloom.operators.fact import reviews_per_order
+    from starloom.sources.csv import malformed_rows
+    folder = tempfile.mkdtemp(prefix="starloom-csv-lines-")
+    text = ROWS["reviews"] + 'r3,o2,4,title,"two lines\no9,1 and a ""quote"", too",2018-01-01,2018-01-02\n'
+    for name, content in {**ROWS, "reviews": text}.items():
+        with open(os.path.join(folder, FILES[name]), "w", encoding="utf-8") as fh:
+            fh.write(content)
+    raw = raw_from_csv(spark, folder)
+    assert {(r.order_id, r.review_score) for r in reviews_per_order(raw).collect()} == {("o1", 5), ("o2", 4)}
+    assert all(raw.bound(name) >= getattr(raw, name).count() for name in FILES)
+    r = malformed_rows(spark, os.path.join(folder, FILES["reviews"]), multi_line=True).first()
+    assert r.rows == 3 and r.malformed_rows == 0

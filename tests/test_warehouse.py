@@ -84,3 +84,35 @@ def test_order_key_unique_and_follows_purchase_time(wh):
     w = Window.orderBy("order_key")
     back = f.select("order_purchase_timestamp", F.lag("order_purchase_timestamp").over(w).alias("prev"))
     assert back.where(F.col("prev") > F.col("order_purchase_timestamp")).count() == 0
+
+
+def test_second_load_keeps_keys(spark):
+    """Customers and days that arrive later get new keys; the rows of the
+    first load stay as they are."""
+    import tempfile
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from conftest import SF0001
+    from starloom.plans.warehouse import Warehouse, read_warehouse, warehouse_from_testdata, write_warehouse
+    raw = warehouse_from_testdata(spark, SF0001).raw
+    path = tempfile.mkdtemp(prefix="starloom-loads-")
+    first = (F.year("order_purchase_timestamp") < 1998) & (F.col("customer_id") % 3 > 0)
+    seen = []
+    for part in (first, ~first, ~first):                # the last load is repeated
+        orders = raw.orders.where(part)
+        ids = orders.select("order_id")
+        write_warehouse(Warehouse(replace(
+            raw, orders=orders, customers=raw.customers.join(orders.select("customer_id"), "customer_id", "left_semi"),
+            **{t: getattr(raw, t).join(ids, "order_id", "left_semi") for t in ("items", "payments", "reviews")})), path)
+        wh = read_warehouse(spark, path)
+        seen.append(({r.order_key: r for r in wh.fact.collect()}, {r.customer_id: r.customer_key for r in wh.customers.collect()},
+                     {r.full_date: r.date_key for r in wh.dates.collect()}, wh.fact.count()))
+    for older, newer in zip(seen, seen[1:]):
+        assert all(newer[0][k] == r for k, r in older[0].items() if k in newer[0])
+        assert older[1].items() <= newer[1].items() and older[2].items() <= newer[2].items()
+        assert len(newer[0]) == newer[3]                # order_key is unique
+    assert all(k in seen[2][0] for k in seen[0][0])     # the first load's rows are all there
+    assert seen[1][3] == seen[2][3] == warehouse_from_testdata(spark, SF0001).fact.count()
+    assert len(set(seen[2][1].values())) == len(seen[2][1]) and len(set(seen[2][2].values())) == len(seen[2][2])
