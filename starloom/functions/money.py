@@ -22,12 +22,6 @@ def money_sum(col: Column | str) -> Column:
     return F.sum(_c(col)).cast(MONEY_TOTAL)
 
 
-def exact_avg(col: Column | str) -> Column:
-    """Mean of a decimal or integer column: exact sum / count, as double."""
-    col = _c(col)
-    return F.sum(col).cast("double") / F.count(col)
-
-
 def ratio_plus_one(num: Column | str, den: Column | str) -> Column:
     """``num / (den + 1)``, the guarded ratio of the features; NULL if the
     denominator is exactly zero instead of failing under ANSI mode."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from functools import reduce
 
@@ -105,9 +106,13 @@ def _rows(spark, sf_dir, variant):
                  lambda: RC.labelled_rows(loaded_warehouse(spark, sf_dir), variant).cache())
 
 
-def _model(spark, sf_dir, variant):
-    return _memo(spark, sf_dir, f"model-{variant}",
-                 lambda: RC.fit(_rows(spark, sf_dir, variant), variant, RC.FIXED_SETTINGS))
+def _models(spark, sf_dir):
+    """Both variants, fitted as concurrent jobs."""
+    def build():
+        rows = {v: _rows(spark, sf_dir, v) for v in ("tuned", "fixed")}
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            return dict(zip(rows, pool.map(lambda v: RC.fit(rows[v], v, RC.FIXED_SETTINGS), rows)))
+    return _memo(spark, sf_dir, "review-models", build)
 
 
 def _onehot_sql(c):
@@ -131,25 +136,20 @@ def q_review_onehot(spark, sf_dir):
 @register("review_model_metrics")
 def q_review_model_metrics(spark, sf_dir):
     bound = loaded_warehouse(spark, sf_dir).bound("items")
-    return reduce(DataFrame.unionByName, [RC.evaluate(_model(spark, sf_dir, v), _rows(spark, sf_dir, v), bound)
-                                          for v in ("tuned", "fixed")])
-
-
-@register("review_cv")
-def q_review_cv(spark, sf_dir):
-    return RC.cross_validate(_rows(spark, sf_dir, "fixed"), "fixed", RC.FIXED_SETTINGS)
+    return reduce(DataFrame.unionByName, [RC.evaluate(m, _rows(spark, sf_dir, v), bound)
+                                          for v, m in _models(spark, sf_dir).items()])
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    return RC.importance(_model(spark, sf_dir, "tuned"), 15)
+    return RC.importance(_models(spark, sf_dir)["tuned"], 15)
 
 
 @register("score_reviews")
 def q_score_reviews(spark, sf_dir):
     """Batch scoring with the persisted model (saved, then loaded back)."""
     path = f"{ensure_checkpoint_dir(spark)}/starloom-review-model-{uuid.uuid4().hex}"
-    RC.save(_model(spark, sf_dir, "tuned"), path)
+    RC.save(_models(spark, sf_dir)["tuned"], path)
     model = RC.load(spark, path)
     return RC.score(model, _rows(spark, sf_dir, "tuned"))
 
