@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,23 +186,53 @@ def _signed(texts: DataFrame, n: int, scheme: Scheme, frequent) -> DataFrame:
         sign, f"doc {id_type}, n long, digest binary, buckets array<int>, signatures array<long>")
 
 
-def _sets_of(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes (documents), by a second pass over
-    the texts that shingles only rows in a bounded bit filter of the nodes."""
-    slot = F.pmod(F.xxhash64(F.col("node")), F.lit(FILTER_BITS))
-    rows = (nodes.select(slot.alias("slot")).groupBy(F.expr("slot div 32768").alias("part"))
+def _bit_filter(slots: DataFrame):
+    """Broadcast bit array of the ``slot`` numbers below ``FILTER_BITS``:
+    bounded, and only a filter (what passes by chance goes in a later join)."""
+    rows = (slots.groupBy(F.expr("slot div 32768").alias("part"))
             .agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits")).collect())
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:
         bits[r["part"] * 4096:(r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    wanted = texts.sparkSession.sparkContext.broadcast(bits)
+    return slots.sparkSession.sparkContext.broadcast(bits)
+
+
+def _passes(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
+def _shared_only(signed: DataFrame) -> DataFrame:
+    """``signed`` with the signatures that several documents hold (and a few
+    more, by chance): most are held by one document and need no shuffle of
+    whole postings."""
+    several = (signed.select(F.explode("signatures").alias("signature")).groupBy("signature").count()
+               .where("count > 1").select(F.col("signature").bitwiseAND(FILTER_BITS - 1).alias("slot")))
+    shared = _bit_filter(several)
+
+    def thin(batches):
+        have = shared.value
+        for b in batches:
+            at = b.schema.get_field_index("signatures")
+            lists = b.column(at)
+            values = lists.flatten().to_numpy()
+            keep = _passes(have, values & (FILTER_BITS - 1))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            offsets = np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int32)
+            yield b.set_column(at, "signatures", pa.ListArray.from_arrays(offsets, values[keep]))
+
+    return signed.mapInArrow(thin, signed.schema)
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, tokens) of the wanted nodes (documents), by a second pass over
+    the texts that shingles only rows in a bounded bit filter of the nodes."""
+    wanted = _bit_filter(nodes.select(F.pmod(F.xxhash64(F.col("node")), F.lit(FILTER_BITS)).alias("slot")))
 
     def shingle(batches):
         have = wanted.value
         def chosen():
             for b in batches:
-                s = column(b, "__slot").to_numpy()
-                yield b.filter(pa.array((have[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1))
+                yield b.filter(pa.array(_passes(have, column(b, "__slot").to_numpy())))
         for part, block in blocks(chosen(), "__text"):
             sets = shingle_sets(block, n)
             yield pa.RecordBatch.from_arrays(
@@ -258,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts, n))
     signed = materialise(_signed(texts, n, scheme, frequent), "signatures")
     classes = materialise(
-        signed.where("n > 0 and doc is not null").groupBy("digest")
+        _shared_only(signed.where("n > 0 and doc is not null")).groupBy("digest")
         .agg(F.min(F.struct("doc", "n", "buckets", "signatures")).alias("c"))
         .select("digest", F.col("c.doc").alias("node"), "c.n", "c.buckets", "c.signatures"), "classes")
 
