@@ -21,9 +21,9 @@ first verified against its band's smallest member (leader); links give labels
 (connected components).  Only lists that still hold several labels are looked
 at again, and only pairs of different labels that the sizes and the triangle
 inequality of the Jaccard distance through a leader leave possible.
-An exact upper bound of the overlap (bucket counts of the two sets) prunes the
-candidates, in the join itself for the second look; the rest are verified on
-the full sets, recomputed from the texts of the candidates alone.
+Exact upper bounds of the overlap (bucket counts of the two sets, coarse ones in
+the second look's join, finer sketches after) prune the candidates; the rest are
+verified on the full sets, recomputed from the texts of the candidates alone.
 
 Defined results: null and empty texts have no n-grams and are linked with
 nothing; fewer words than n give one n-gram, the whole sequence; doc_id is
@@ -127,6 +127,25 @@ def _histogram(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((_mix(tokens.view(np.uint64)) >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Counts of a power of two of buckets, about three tokens to a bucket, so
+    that unrelated sets differ visibly at any size; one byte each."""
+    bits = max(4, int(np.ceil(np.log2(max(1, len(tokens)) / 4))))
+    counts = np.bincount((_mix(tokens.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _most_shared(x: bytes, y: bytes, n_x: int, n_y: int) -> int:
+    """Upper bound of the overlap of two sets of n_x and n_y tokens from their
+    sketches; the finer one is folded.  What a full byte lost is added back."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    lost = min(n_x - int(a.sum()), n_y - int(b.sum()))
+    if len(a) != len(b):
+        size = min(len(a), len(b))
+        a, b = (v.reshape(size, -1).sum(axis=1) for v in (a, b))
+    return int(np.minimum(a, b).sum()) + lost
+
+
 def frequent_tokens(texts: DataFrame, n: int) -> np.ndarray:
     """Sorted n-grams found in many documents: every task counts the n-grams of
     its documents, reports those it saw more than once, and reports are added
@@ -177,13 +196,14 @@ def _signed(texts: DataFrame, n: int, scheme: Scheme, frequent) -> DataFrame:
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                  pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BUCKETS,
                                           np.concatenate([_histogram(s) for s in sets]).astype(np.int32)),
+                 pa.array([_sketch(s) for s in sets], pa.binary()),
                  pa.ListArray.from_arrays(np.cumsum([0, *map(len, sigs)]).astype(np.int32),
                                           np.concatenate(sigs) if sigs else np.zeros(0, np.int64))],
-                names=["doc", "n", "digest", "buckets", "signatures"])
+                names=["doc", "n", "digest", "buckets", "sketch", "signatures"])
 
     id_type = texts.schema["__id"].dataType.simpleString()
     return texts.select("__id", "__text").mapInArrow(
-        sign, f"doc {id_type}, n long, digest binary, buckets array<int>, signatures array<long>")
+        sign, f"doc {id_type}, n long, digest binary, buckets array<int>, sketch binary, signatures array<long>")
 
 
 def _bit_filter(slots: DataFrame):
@@ -246,23 +266,19 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
 
 def _prune(pairs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Drop pairs whose bucket counts rule the similarity out."""
-    side = classes.select("node", "buckets")
-    joined = (pairs.join(side.select(F.col("node").alias("a"), F.col("buckets").alias("ba")), "a")
-              .join(side.select(F.col("node").alias("b"), F.col("buckets").alias("bb")), "b"))
+    """Drop pairs whose sketches rule the similarity out."""
+    sides = [classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
     def possible(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (column(batch, c).flatten().to_numpy().reshape(-1, BUCKETS) for c in ("ba", "bb"))
-            shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            union = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - shared
-            keep = pa.array(scheme.den * shared >= scheme.num * union)
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(keep)
+            n_a, n_b, s_a, s_b = (column(batch, c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b"))
+            most = [_most_shared(*v) for v in zip(s_a, s_b, n_a, n_b)]
+            keep = [scheme.den * m >= scheme.num * (x + y - m) for m, x, y in zip(most, n_a, n_b)]
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.select("a", "b", "ba", "bb").mapInArrow(possible, f"a {kind}, b {kind}")
+    return joined.mapInArrow(possible, f"a {kind}, b {kind}")
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, n: int, scheme: Scheme) -> DataFrame:
@@ -290,8 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialise(_signed(texts, n, scheme, frequent), "signatures")
     classes = materialise(
         _shared_only(signed.where("n > 0 and doc is not null")).groupBy("digest")
-        .agg(F.min(F.struct("doc", "n", "buckets", "signatures")).alias("c"))
-        .select("digest", F.col("c.doc").alias("node"), "c.n", "c.buckets", "c.signatures"), "classes")
+        .agg(F.min(F.struct("doc", "n", "buckets", "sketch", "signatures")).alias("c"))
+        .select("digest", F.col("c.doc").alias("node"), "c.n", "c.buckets", "c.sketch", "c.signatures"), "classes")
 
     def close(x: Column, y: Column) -> Column:
         return scheme.den * F.least(x, y) >= scheme.num * F.greatest(x, y)
@@ -338,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          & close(F.col("n"), F.col("n_x")) & ~apart & once
                          & (scheme.den * bound >= scheme.num * (F.col("n") + F.col("n_x") - bound)))
                .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
-    second = _verify(texts, crossed, n, scheme)
+    second = _verify(texts, _prune(crossed, classes, scheme), n, scheme)
     labels = components(links.unionByName(second.where("linked").select("a", "b")))
 
     named = classes.select("digest", "node").join(labels, "node", "left").select(

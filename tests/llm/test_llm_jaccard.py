@@ -111,3 +111,18 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {200: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 3000), st.integers(1, 3000), st.floats(0, 1), st.integers(0, 2 ** 32))
+def test_sketches_never_underestimate(size_x, size_y, share, seed):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(-2 ** 62, 2 ** 62, size_x))
+    y = np.unique(np.concatenate([rng.permutation(x)[:int(share * len(x))], rng.integers(-2 ** 62, 2 ** 62, size_y)]))
+    shared = len(np.intersect1d(x, y))
+    assert shared <= jaccard._most_shared(jaccard._sketch(x), jaccard._sketch(y), len(x), len(y)) <= min(len(x), len(y))
+
+
+def test_full_sketch_bytes_are_added_back():
+    full = np.full(16, 255, np.uint8).tobytes()
+    assert jaccard._most_shared(full, full, 10_000, 9_000) == 16 * 255 + 9_000 - 16 * 255
