@@ -122,3 +122,16 @@ def test_table_against_brute_force(spark):
     for t, i in low:
         assert math.isclose(scores[i], tree.score(array([t]))[0], rel_tol=1e-6)
     assert ct.score_documents(df.limit(0)).count() == 0
+
+
+def test_rare_contexts_stay_in_a_large_corpus(spark):
+    # two texts of six bytes among 2 ** 18 others: contexts of a share under 2 ** -14
+    rows = [(i, "ab" * 4096 if i else "xyzzyq") for i in range(40) if i == 0 or zlib.crc32(str(i).encode()) % 10]
+    rows += [(10_000, "xyzzyq")]
+    assert zlib.crc32(b"0") % 10 and zlib.crc32(b"10000") % 10
+    got = {r.doc_id: r.score for r in ct.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    low = array([t for _, t in rows])
+    whole, cut = tree_of(low.to_pylist(), ct.DEPTH, 62), tree_of(low.to_pylist(), ct.DEPTH, 14)
+    assert whole.score(low)[0] > cut.score(low)[0] + 1
+    for (i, _), score in zip(rows, whole.score(low)):
+        assert math.isclose(got[i], score, rel_tol=1e-5)
