@@ -69,7 +69,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return line_dedup.remove_boilerplate(docs).select(
+    return line_dedup.remove_boilerplate(docs, copies_only=True).select(
         "doc_id", F.col("__l_n_lines").alias("n_lines"), F.col("__l_n_removed").alias("n_removed"), "text")
 
 

@@ -42,3 +42,16 @@ def test_native_plan_and_empty(spark):
     plan = line_dedup.remove_boilerplate(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
+
+
+def test_only_copies_stay_whole(spark):
+    notice = "This work is licensed to everybody, under the terms of a licence.\nAll rights reserved."
+    copied = "the copied story of many sites\nits second line"
+    rows = [(i, f"{notice}\nown text {i}", f"s{i}", "") for i in range(4)] + [(4, notice, "s1", "")]
+    rows += [(10 + i, copied if i % 2 else copied + "\n\n", f"s{i}", "") for i in range(4)]
+    rows += [(20 + i, "All rights reserved.\npair", f"s{i}", "") for i in range(2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.text, r["__l_n_removed"]) for r in line_dedup.remove_boilerplate(df, min_sites=3, copies_only=True).collect()}
+    assert all(got[i] == (f"own text {i}", 2) for i in range(4)) and got[4] == ("", 2)
+    assert all(got[i] == (t, 0) for i, t, _, _ in rows if 10 <= i < 20)
+    assert all(got[i] == ("pair", 1) for i in (20, 21))
