@@ -2,7 +2,9 @@
 
 Fitted models are memoised per session and data folder, so the queries
 that read one model (segments, summaries, profiles, PCA) fit it once.
-Classifier queries use the full settings (300 trees of depth 6).
+The fixed classifier uses the full settings (300 trees of depth 6), the tuned
+one the best of the whole random search, fitted again with early stopping; the
+search runs once for all queries that need it.
 """
 
 from __future__ import annotations
@@ -106,12 +108,19 @@ def _rows(spark, sf_dir, variant):
                  lambda: RC.labelled_rows(loaded_warehouse(spark, sf_dir), variant).cache())
 
 
+def _search(spark, sf_dir):
+    return _memo(spark, sf_dir, "review-search", lambda: RC.search(_rows(spark, sf_dir, "tuned")))
+
+
 def _models(spark, sf_dir):
-    """Both variants, fitted as concurrent jobs."""
+    """Both variants, fitted as concurrent jobs after the search."""
     def build():
         rows = {v: _rows(spark, sf_dir, v) for v in ("tuned", "fixed")}
+        ranked = _search(spark, sf_dir)
         with ThreadPoolExecutor(max_workers=2) as pool:
-            return dict(zip(rows, pool.map(lambda v: RC.fit(rows[v], v, RC.FIXED_SETTINGS), rows)))
+            tuned = pool.submit(RC.refit, rows["tuned"], ranked)
+            fixed = pool.submit(RC.fit, rows["fixed"], "fixed", RC.FIXED_SETTINGS)
+            return {"tuned": tuned.result(), "fixed": fixed.result()}
     return _memo(spark, sf_dir, "review-models", build)
 
 
@@ -140,6 +149,16 @@ def q_review_model_metrics(spark, sf_dir):
                                           for v, m in _models(spark, sf_dir).items()])
 
 
+@register("review_search")
+def q_review_search(spark, sf_dir):
+    return _search(spark, sf_dir)
+
+
+@register("review_cv")
+def q_review_cv(spark, sf_dir):
+    return RC.cross_validate(_rows(spark, sf_dir, "fixed"), "fixed", RC.FIXED_SETTINGS)
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     return RC.importance(_models(spark, sf_dir)["tuned"], 15)

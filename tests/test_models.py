@@ -110,3 +110,18 @@ def test_sampled_silhouette_matches_brute_force(spark):
         b = min(d[i, lab == c].mean() for c in set(lab) if c != lab[i])
         s.append((b - a) / max(a, b))
     assert abs(silhouette_sample(df, sample_size=1000, block=16) - float(np.mean(s))) < 1e-12
+
+
+def test_registered_classifier_queries_search_and_stop_early(spark, queries, monkeypatch):
+    import json
+    from starloom.models import review_classifier as RC
+    from starloom.queries import models as M
+    base = {**RC.FIXED_SETTINGS, "n_estimators": 2, "max_depth": 1}
+    monkeypatch.setattr(M, "_MEMO", {})
+    monkeypatch.setattr(RC, "FIXED_SETTINGS", base)
+    monkeypatch.setattr(RC, "sample_grid", lambda n_iter: [base, {**base, "max_depth": 2}])
+    ranked = queries["review_search"](spark, SF0001).collect()
+    assert len(ranked) == 2 and ranked[0].mean_f1 >= ranked[1].mean_f1
+    tuned = M._models(spark, SF0001)["tuned"].settings
+    assert 1 <= tuned.pop("trees_kept") <= 2 and tuned == json.loads(ranked[0].settings)
+    assert len(queries["review_cv"](spark, SF0001).collect()) == RC.CV_FOLDS
