@@ -37,21 +37,50 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LEAF = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr option pre".split())    # closed by the next block
 _FURNITURE = frozenset("nav footer aside form button dialog menu".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
-    r"subscri\w*|sign-?up|login|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|topbar|footer|comments?|"
-    r"commentlist|respond|replies|disqus|share|sharing|social|related|recommend\w*|pagination|pager|tags?|copyright|skip|hidden)(?:$|[\s_-])",
-    re.I)
+_WORD = re.compile(
+    r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
+    r"subscri\w*|signup|login|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|topbar|footer|comments?|"
+    r"commentlist|respond|replies|disqus|share|sharing|social|related|recommend\w*|pagination|pager|tags?|copyright|skip|hidden)", re.I)
+# words that only say where or in what form furniture stands
+_BESIDE = re.compile(r"(?:site|page|top|bottom|left|right|global|primary|secondary|main|mobile|sticky|box|bar|list|area|section|block|"
+                     r"links?|buttons?|icons?|item|slot|unit|form|sign|up|\d\w*)", re.I)
+_OTHERS = re.compile(r"comments?|commentlist|respond|replies|disqus|related|recommend\w*|cookies?|consent|gdpr", re.I)
+MOST = 0.75
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
 
 
+def _names(value: str) -> list[str]:
+    """Words of the class tokens that name furniture: all parts of such a token
+    are furniture words or words beside them."""
+    out = []
+    for token in value.split():
+        parts = [x for x in re.split(r"[_-]+", token) if x]
+        found = [x for x in parts if _WORD.fullmatch(x)]
+        if (found and all(x in found or _BESIDE.fullmatch(x) for x in parts)) or re.fullmatch(r"sign[_-]?up", token, re.I):
+            out += found or [token]
+    return out
+
+
+def _lasting(attributes: str) -> bool:
+    """Hidden, or other people's text: furniture whatever it holds."""
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return True
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return True
+        if name in ("class", "id", "role") and any(map(_OTHERS.fullmatch, _names(value))):
+            return True
+    return False
+
+
 def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _FURNITURE or (tag == "header" and not in_article):
         return True
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            if tag not in ("html", "body", "article", "main", "h1") and _NAMES.search(value):
+            if tag not in ("html", "body", "article", "main", "h1") and _names(value):
                 return True
             if value.lower() in ("complementary", "contentinfo", "search", "dialog"):
                 return True
@@ -64,19 +93,23 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
 
 def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     """(text, link characters, furniture, inside article) per block line; text
-    is decoded, its white space single."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []          # open containers: (tag, furniture)
+    is decoded, its white space single.  A container that holds every article
+    or main element or most of the text outside links is no furniture, unless
+    it is hidden or other people's."""
+    lines: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, int | None]] = []    # open containers: (tag, lasting furniture, number of other furniture)
+    boxes: list[int] = []                       # articles in every other furniture
+    within: list[int] = []                      # those that are open
     text: list[str] = []
     linked: list[str] = []
-    state = {"leaf": False, "link": 0, "article": 0, "furniture": 0}
+    state = {"leaf": False, "link": 0, "article": 0, "furniture": 0, "articles": 0}
 
     def flush():
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
                 link = len(" ".join(unescape("".join(linked)).split()))
-                lines.append((line, link, bool(state["furniture"]) or state["leaf"], state["article"] > 0))
+                lines.append((line, link, bool(state["furniture"]) or state["leaf"], state["article"] > 0, tuple(within)))
             text.clear()
             linked.clear()
         state["leaf"] = False
@@ -129,18 +162,35 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if closing:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            for name, furniture in stack[at:] if at is not None else ():
-                state["furniture"] -= furniture
+            for name, lasting, box in stack[at:] if at is not None else ():
+                state["furniture"] -= lasting
+                if box is not None:
+                    within.remove(box)
                 state["article"] -= name in ("article", "main")
             if at is not None:
                 del stack[at:]
         elif not attributes.endswith("/"):
             furniture = _is_furniture(tag, attributes, state["article"] > 0)
-            stack.append((tag, furniture))
-            state["furniture"] += furniture
+            lasting = furniture and _lasting(attributes)
+            stack.append((tag, lasting, len(boxes) if furniture and not lasting else None))
+            state["furniture"] += lasting
+            if furniture and not lasting:
+                within.append(len(boxes))
+                boxes.append(0)
+            if tag in ("article", "main") and not state["article"] and not state["furniture"]:
+                state["articles"] += 1
+                for box in within:
+                    boxes[box] += 1
             state["article"] += tag in ("article", "main")
     flush()
-    return lines
+    sizes, total = [0] * len(boxes), 0
+    for line, link, lasting, _, inside in lines:
+        if not lasting:
+            total += len(line) - link
+            for box in inside:
+                sizes[box] += len(line) - link
+    kept = [n == state["articles"] if state["articles"] else size > MOST * total for n, size in zip(boxes, sizes)]
+    return [(line, link, lasting or not all(kept[box] for box in inside), article) for line, link, lasting, article, inside in lines]
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:

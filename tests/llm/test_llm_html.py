@@ -39,3 +39,18 @@ def test_extract(spark):
     out = html_text.extract(df)
     assert out.columns == ["page_id", "url", "text"] and sorted((r.page_id, r.text) for r in out.collect()) == [(1, "a"), (1, "a"), (2, "")]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html", [
+    "<div class='content-sidebar-wrap'><main><p>" + LONG * 3 + "</p></main></div>",
+    "<body><form id='aspnetForm' style='margin: 0'><article><p>" + LONG * 3 + "</p></article></form></body>",
+    "<body><form id='aspnetForm'><nav>m</nav><div><p>" + LONG * 3 + "</p></div></form></body>",
+    "<div class='post hentry tag-news'><p>" + LONG * 3 + "</p></div><div class='comments-area'><p>" + LONG * 20 + "</p></div>",
+    "<div class='sidebar'><article><p>" + LONG * 3 + "</p></article></div><div class='sidebar'>" + LONG + "</div>",
+])
+def test_containers_of_the_article_are_no_furniture(html):
+    assert html_text.main_text(html) == (LONG * 3).strip()
+
+
+def test_entry_header_keeps_its_title():
+    assert html_text.main_text("<article><header class='entry-header'><h1>Title</h1></header><p>text</p></article>") == "Title text"
