@@ -38,7 +38,9 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Da
     picked = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_hash"),
                          F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
                          F.length(text_col).alias("chars"), F.xxhash64(F.array_sort(F.array_distinct(words))).alias("line_set"),
-                         F.posexplode(F.split(F.col(text_col), "\n")).alias("position", "raw"))
+                         F.split(F.col(text_col), "\n").alias("raws"))
+    # the line set is computed once a text, below the expansion into lines
+    picked = picked.select("doc", "text_hash", "site", "chars", "line_set", F.posexplode("raws").alias("position", "raw"))
     line = F.btrim("raw", F.lit(BLANKS))
     return (picked.withColumn("line", line).where(F.col("line") != "")
             .select("doc", "text_hash", "site", "chars", "line_set", "position", F.length("raw").alias("length"),
