@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann, chat, context_tree, html_text, jaccard, line_dedup, packing, quality, secrets, sentencepiece_trie, storage
+from . import ann, chat, context_tree, html_text, jaccard, line_dedup, packing, quality, secrets, sentencepiece_trie, storage, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,52 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = sentencepiece_trie.decode(encoded, model)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "n_byte_ids", "ids_crc32",
                           (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+# The rules of op13 (verdict, host, path).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _url_filter_sql() -> str:
+    """Rules by longest match, then reachability from blocked urls over the
+    canonical and refresh links (absolute targets, and those that start with /)."""
+    parts = """regexp_extract({u}, '^.*?://([^/?#]*)', 1) AS host0, regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1) AS path"""
+    lower = "translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    value = r"""\s*=\s*["'']?([^"''\s>]+)"""
+    return rf"""
+WITH RECURSIVE rules(verdict, rule_host, rule_path) AS (VALUES {rules}),
+links AS (
+  SELECT page_id, url, regexp_extract(tag, '(?i)href{value}', 1) AS target
+  FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) AS tag FROM pages WHERE html ILIKE '%canonical%')
+  WHERE regexp_matches(tag, '(?i)rel\s*=\s*["'']?[^"''>]*canonical')
+  UNION ALL
+  SELECT page_id, url, regexp_extract(tag, '(?i)url\s*=\s*([^"''\s>]+)', 1) AS target
+  FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')) AS tag FROM pages WHERE html ILIKE '%refresh%')
+  WHERE regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh')),
+targets AS (SELECT url, CASE WHEN target LIKE '%://%' THEN target
+                             WHEN target LIKE '/%' THEN regexp_extract(url, '^[^:]*://[^/?#]*') || target END AS target FROM links),
+urls AS (SELECT DISTINCT u FROM (SELECT url AS u FROM pages UNION ALL SELECT target FROM targets) WHERE u IS NOT NULL),
+cut AS (SELECT u, {parts.format(u="u")} FROM urls),
+hosts AS (SELECT u, {lower} AS host, path, regexp_replace(u, '#.*$', '') AS node FROM cut),
+ruled AS (
+  SELECT h.u, h.host, h.path, h.node, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(r.verdict, length(rule_host || rule_path)) AS verdict
+  FROM hosts h LEFT JOIN rules r ON (h.host = rule_host OR ends_with(h.host, '.' || rule_host)) AND starts_with(h.path, rule_path)
+  GROUP BY ALL),
+edges AS (SELECT a.node AS a, b.node AS b FROM targets t JOIN hosts a ON a.u = t.url JOIN hosts b ON b.u = t.target),
+ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reached AS (SELECT DISTINCT node FROM ruled WHERE verdict = 'block' AND node IN (SELECT a FROM ways)
+            UNION SELECT w.b FROM reached JOIN ways w ON w.a = reached.node)
+SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.rule,
+       coalesce(r.verdict, CASE WHEN r.node IN (SELECT node FROM reached) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p LEFT JOIN ruled r ON r.u = p.url"""
+
+
+ORACLES["op13_url_filter"] = _url_filter_sql()
