@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann, chat, context_tree, html_text, jaccard, line_dedup, packing, quality, secrets, sentencepiece_trie, storage, url_filter
+from . import ann, chat, context_tree, html_text, jaccard, line_dedup, packing, quality, secrets, sentencepiece_trie, spelling, storage, token_align, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +104,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    words = storage.materialise(spelling.word_counts(docs), "spelling-words")
+    return spelling.variant_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_align.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 # The rules of op13 (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
