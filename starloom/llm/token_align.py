@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from .arrow_text import blocks, column
 from .storage import materialise
 
-BLOCK = 12 << 20        # text bytes of a block, about
-CACHE = 400_000         # units remembered in a Python worker
+BLOCK = 4 << 20         # text bytes of a block, about
+CACHE = 150_000         # units remembered in a Python worker (twice, at most)
+RUN = 2_000             # units encoded as one text
 LONG_UNIT = 200         # characters; longer units are not remembered
 SHIFT = 20              # B ids are below 2 ** SHIFT: a pair is A id << SHIFT | B id
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -77,28 +78,52 @@ class Encoders:
     def units(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
+    def _one(self, unit: str) -> tuple[bytes, bytes]:
+        data = (" " + unit).encode()
+        a, b = self.a.encode(" " + unit, add_special_tokens=False).ids, self.b.encode(unit)
+        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+            return b"", b""
+        return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+
+    def _run(self, run: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of units that neither start nor end with a blank, encoded as one text."""
+        text = " ".join(run)
+        data = (" " + text).encode()
+        stops = np.cumsum([len(u.encode()) + 1 for u in run])
+        sides = []
+        for ids, strings, sizes in ((self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.a_bytes, self.a_size),
+                                    (self.b.encode(text), self.b_bytes, self.b_size)):
+            if b"".join([strings[i] for i in ids]) != data:
+                return [self._one(u) for u in run]
+            ids = np.array(ids, "<u4")
+            ends = np.cumsum(sizes[ids])
+            cuts = np.searchsorted(ends, stops)
+            if (ends[cuts] != stops).any():
+                return [self._one(u) for u in run]
+            line, at = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+            sides.append([line[s:e] for s, e in zip(at[:-1], at[1:])])
+        return list(zip(*sides))
+
     def encode(self, units: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids (little-endian uint32) of every unit in A and B; both empty where the bytes
         of either differ from the unit's."""
-        known = {}
+        known, short = {}, []
         for u in units:
-            ids = self.new.get(u) or self.old.get(u)
+            ids = self.new.get(u)
+            if ids is None:
+                ids = self.old.get(u)
             if ids is not None:
                 known[u] = ids
-        missing = [u for u in units if u not in known]
-        for at in range(0, len(missing), 2000):
-            part = missing[at:at + 2000]
-            spaced = [" " + u for u in part]
-            in_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-            in_b = self.b.encode(part, num_threads=1)
-            for u, raw, a, b in zip(part, spaced, in_a, in_b):
-                data = raw.encode()
-                same = b"".join([self.a_bytes[i] for i in a]) == data and b"".join([self.b_bytes[i] for i in b]) == data
-                known[u] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else (b"", b"")
-        kept = [u for u in missing if len(u) <= LONG_UNIT]
-        if len(self.new) + len(kept) > CACHE:
+            elif self.cuts and len(u) <= LONG_UNIT and u and not u[0].isspace() and not u[-1].isspace():
+                short.append(u)
+            else:
+                known[u] = self._one(u)
+        for at in range(0, len(short), RUN):
+            run = short[at:at + RUN]
+            known.update(zip(run, self._run(run)))
+        if len(self.new) + len(short) > CACHE:
             self.old, self.new = self.new, {}
-        self.new.update((u, known[u]) for u in kept[:CACHE])
+        self.new.update((u, known[u]) for u in short[:CACHE])
         return [known[u] for u in units]
 
 
