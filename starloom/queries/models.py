@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import threading
 import uuid
-from concurrent.futures import ThreadPoolExecutor
-
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -112,16 +110,9 @@ def _search(spark, sf_dir):
     return _memo(spark, sf_dir, "review-search", lambda: RC.search(_rows(spark, sf_dir, "tuned")))
 
 
-def _models(spark, sf_dir):
-    """Both variants, fitted as concurrent jobs after the search."""
-    def build():
-        rows = {v: _rows(spark, sf_dir, v) for v in ("tuned", "fixed")}
-        ranked = _search(spark, sf_dir)
-        with ThreadPoolExecutor(max_workers=2) as pool:
-            tuned = pool.submit(RC.refit, rows["tuned"], ranked)
-            fixed = pool.submit(RC.fit, rows["fixed"], "fixed", RC.FIXED_SETTINGS)
-            return {"tuned": tuned.result(), "fixed": fixed.result()}
-    return _memo(spark, sf_dir, "review-models", build)
+def _tuned(spark, sf_dir):
+    """The tuned model: the best settings of the whole search, refitted."""
+    return _memo(spark, sf_dir, "review-tuned", lambda: RC.refit(_rows(spark, sf_dir, "tuned"), _search(spark, sf_dir)))
 
 
 def _onehot_sql(c):
@@ -145,8 +136,8 @@ def q_review_onehot(spark, sf_dir):
 @register("review_model_metrics")
 def q_review_model_metrics(spark, sf_dir):
     bound = loaded_warehouse(spark, sf_dir).bound("items")
-    return reduce(DataFrame.unionByName, [RC.evaluate(m, _rows(spark, sf_dir, v), bound)
-                                          for v, m in _models(spark, sf_dir).items()])
+    models = {"tuned": _tuned(spark, sf_dir), "fixed": RC.fit(_rows(spark, sf_dir, "fixed"), "fixed", RC.FIXED_SETTINGS)}
+    return reduce(DataFrame.unionByName, [RC.evaluate(m, _rows(spark, sf_dir, v), bound) for v, m in models.items()])
 
 
 @register("review_search")
@@ -161,14 +152,14 @@ def q_review_cv(spark, sf_dir):
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    return RC.importance(_models(spark, sf_dir)["tuned"], 15)
+    return RC.importance(_tuned(spark, sf_dir), 15)
 
 
 @register("score_reviews")
 def q_score_reviews(spark, sf_dir):
     """Batch scoring with the persisted model (saved, then loaded back)."""
     path = f"{ensure_checkpoint_dir(spark)}/starloom-review-model-{uuid.uuid4().hex}"
-    RC.save(_models(spark, sf_dir)["tuned"], path)
+    RC.save(_tuned(spark, sf_dir), path)
     model = RC.load(spark, path)
     return RC.score(model, _rows(spark, sf_dir, "tuned"))
 
