@@ -19,8 +19,11 @@ Posting lists.  No list is turned into all its pairs.  Lists are cut into size
 bands, and members without a partner of a fitting size leave.  Every member is
 first verified against its band's smallest member (leader); links give labels
 (connected components).  Only lists that still hold several labels are looked
-at again, and only pairs of different labels that the sizes and the triangle
-inequality of the Jaccard distance through a leader leave possible.
+at again, in rounds with four times as many leaders each: the round's leaders
+meet the members of other labels (that the sizes and the triangle inequality of
+the Jaccard distance through a first leader leave possible), links join labels, and lists
+with one label leave.  In the last round all members lead, so no pair of different
+labels is missed.
 Exact upper bounds of the overlap (bucket counts of the two sets, coarse ones in
 the second look's join, finer sketches after) prune the candidates; the rest are
 verified on the full sets, recomputed from the texts of the candidates alone.
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import blocks, column, split_words, word_list
 from .components import components
-from .storage import checkpointed, materialise
+from .storage import checkpointed, discard, materialise
 
 SUBCLASSES = 16
 REPORT_TOKENS = 2_000_000   # tokens after which a task reports repeated ones
@@ -50,6 +53,8 @@ FREQUENT = 8                # reported documents from which a token counts as fr
 MAX_FREQUENT = 1 << 20      # the most frequent tokens kept (8 MB); the rest count as rare
 BUCKETS = 64
 FILTER_BITS = 1 << 26       # 8 MB
+ROUND_GROWTH = 4            # leaders of a list, from round to round
+LIST_SLOT = 4096            # members of a list that meet its leaders in one group
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -295,6 +300,40 @@ def _verify(texts: DataFrame, pairs: DataFrame, n: int, scheme: Scheme) -> DataF
                                        (scheme.den * F.col("shared") >= scheme.num * union).alias("linked")))
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(signature, size) of the lists that hold several labels."""
+    return checkpointed(
+        _labelled(members, labels).groupBy("signature")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+        .where("low < high").select("signature", "size"))
+
+
+def _due_pairs(rest: DataFrame, mixed: DataFrame, labels: DataFrame, now: int, scheme: Scheme) -> DataFrame:
+    """Distinct pairs (a, b) of different labels, one of which leads from this round
+    on and the other does not lead yet, that sizes, the triangle inequality of the
+    Jaccard distance through a first leader, and bucket counts leave possible.
+    Long lists are dealt to slots, each met by all of the round's leaders."""
+    open_lists = _labelled(rest.where(F.col("turn") >= now).join(mixed.select("signature"), "signature", "left_semi"), labels)
+    slots = F.ceil(F.col("size") / LIST_SLOT).cast("int")
+    held = open_lists.withColumn("slot", F.pmod(F.xxhash64("node"), slots).cast("int"))
+    leads = open_lists.where(F.col("turn") == now).withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+    leads = leads.select(*[F.col(c).alias(f"{c}_x") for c in ("signature", "slot", "node", "n", "label", "leader", "similarity", "buckets")])
+    n, n_x = F.col("n"), F.col("n_x")
+    close = scheme.den * F.least(n, n_x) >= scheme.num * F.greatest(n, n_x)
+    apart = (F.col("leader") == F.col("leader_x")) & F.coalesce(
+        F.abs(F.col("similarity") - F.col("similarity_x")) > (1 - scheme.num / scheme.den) + 1e-9, F.lit(False))
+    met = (F.col("node") == F.col("leader_x")) | (F.col("node_x") == F.col("leader"))       # verified in the first look
+    once = (F.col("turn") > now) | (F.col("node_x") < F.col("node"))
+    bound = F.aggregate(F.zip_with("buckets", "buckets_x", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return (held.join(leads, (F.col("signature") == F.col("signature_x")) & (F.col("slot") == F.col("slot_x")) & (F.col("label") != F.col("label_x"))
+                      & close & ~apart & ~met & once & (scheme.den * bound >= scheme.num * (n + n_x - bound)))
+            .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
                     num: int = 90, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row: documents link when
@@ -324,38 +363,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .groupBy("signature", "band").agg(F.sum("size").alias("around")).where("around > 1").select("signature", "band"))
     cells = cells.join(around, ["signature", "band"]).select(
         "signature", "band", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
+    postings_of = members
     members = materialise(members.join(cells, ["signature", "band"]), "banded-postings")
+    discard(postings_of)
 
     led = (members.where((F.col("node") != F.col("leader")) & close(F.col("n"), F.col("leader_n")))
            .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     first = _verify(texts, _prune(led, classes, scheme), n, scheme)
-    links = first.where("linked").select("a", "b")
-    labels = components(links)
-
-    # Lists that hold several labels, and their pairs of different labels.
-    tagged = (members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-              .select("signature", "node", "n", "leader", "label"))
-    mixed = (tagged.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                             F.min(F.struct("node", "label")).alias("first"))
-             .where("low < high").select("signature", F.col("first.label").alias("first_label")))
+    labels = components(first.where("linked").select("a", "b"))
+
+    # Lists that hold several labels, in rounds.  A member is a leader from the round on
+    # that a hash gives it: about four times as many of a list in every round, in the last
+    # all.  A pair is due when the first of its two becomes a leader, and only
+    # if no links found so far have joined their labels.
     near = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity")
-    rest = materialise(tagged.join(mixed, "signature").join(near, ["leader", "node"], "left")
-                       .join(classes.select("node", "buckets"), "node"), "mixed-postings")
-    # any two different labels differ from the first label once at least
-    odd = rest.where("label <> first_label").select(
-        *[F.col(c).alias(f"{c}_x") for c in ("signature", "node", "n", "label", "leader", "similarity", "buckets")])
-    # the triangle inequality through a leader of both rules the pair out
-    apart = (F.col("leader") == F.col("leader_x")) & F.coalesce(
-        F.abs(F.col("similarity") - F.col("similarity_x")) > (1 - num / den) + 1e-9, F.lit(False))
-    # a pair of two odd members comes from both sides: keep it once
-    once = (F.col("label") == F.col("first_label")) | (F.col("node_x") < F.col("node"))
-    bound = F.aggregate(F.zip_with("buckets", "buckets_x", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-    crossed = (rest.join(odd, (F.col("signature") == F.col("signature_x")) & (F.col("label") != F.col("label_x"))
-                         & close(F.col("n"), F.col("n_x")) & ~apart & once
-                         & (scheme.den * bound >= scheme.num * (F.col("n") + F.col("n_x") - bound)))
-               .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
-    second = _verify(texts, _prune(crossed, classes, scheme), n, scheme)
-    labels = components(links.unionByName(second.where("linked").select("a", "b")))
+    mixed = _mixed(members, labels)
+    share = F.pmod(F.xxhash64("node", "signature"), F.lit(1 << 40)) / float(1 << 40)
+    turn = F.greatest(F.lit(0), F.ceil(F.log(float(ROUND_GROWTH), share * F.col("size")))).cast("int")
+    rest = materialise(
+        members.join(mixed, "signature").select("signature", "node", "n", "leader", "size", F.when(share > 0, turn).otherwise(0).alias("turn"))
+        .join(near, ["leader", "node"], "left").join(classes.select("node", "buckets"), "node"), "mixed-postings")
+    discard(members)
+    turns = rest.agg(F.max("turn")).first()[0]
+    for now in range(0 if turns is None else turns + 1):
+        if mixed.isEmpty():
+            break
+        second = _verify(texts, _prune(_due_pairs(rest, mixed, labels, now, scheme), classes, scheme), n, scheme)
+        more = second.where("linked").select("a", "b")
+        if not more.isEmpty():
+            labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+        mixed = _mixed(rest, labels)
 
     named = classes.select("digest", "node").join(labels, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
