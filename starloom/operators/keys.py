@@ -14,6 +14,8 @@ Two exact strategies, picked by a proven row bound:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +53,11 @@ def with_stored_keys(df: DataFrame, stored: DataFrame, key: str, natural: list[s
                      row_bound: int) -> DataFrame:
     """Rows of ``df`` whose natural key is not in ``stored`` yet, numbered on
     from the largest stored key, as a SERIAL would.  Stored rows keep their
-    keys, so facts that point to them stay right."""
-    new = df.join(stored.select(*natural), natural, "left_anti").drop(key)
+    keys, so facts that point to them stay right.  A NULL natural key is one
+    key like any other, stored once."""
+    known = stored.select(*[F.col(c).alias(f"_stored_{c}") for c in natural])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_stored_{c}")) for c in natural])
+    new = df.join(known, same, "left_anti").drop(key)
     last = stored.agg(F.max(key)).first()[0] or 0
     numbered = with_surrogate_key(new, key, order, row_bound)
     return numbered.withColumn(key, F.col(key) + F.lit(last)).select(*stored.columns)

@@ -5,7 +5,8 @@ from raw sources; nothing runs until a mart or a write asks for rows.
 ``write_warehouse`` loads into a folder that may hold earlier loads: stored
 dimension rows and their keys stay, new natural keys are numbered on, and the
 orders of this load replace themselves only, so loads can be repeated and
-appended; ``read_warehouse`` reads it back with partition pruning available.
+appended.  A load writes new folders and becomes visible as a whole by its manifest
+(``snapshots``); ``read_warehouse`` follows the manifest, with month pruning available.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from ..operators import dims as D
 from ..operators.fact import FACT_COLUMNS, fact_orders
 from ..operators.keys import with_stored_keys
-from ..session import ensure_checkpoint_dir, path_exists, shuffle_partitions
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 from ..sources.raw import RawTables, raw_from_testdata
+from . import snapshots
 
 DIMENSIONS = ("customers", "sellers", "products", "dates", "geolocation")
 # ~0.5 GB of fact rows per file: large range partitions split into several files
@@ -138,51 +140,63 @@ def loaded_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
         return _LOADED[key]
 
 
-def _write_dimension(wh: Warehouse, plan: DataFrame, attr: str, path: str) -> None:
-    """First load: the dimension as built.  Later loads append the rows with
-    new natural keys only."""
-    spark, target = plan.sparkSession, f"{path}/{VIEW_NAMES[attr]}"
-    if not path_exists(spark, f"{target}/_SUCCESS"):
-        plan.write.mode("overwrite").parquet(target)
-        return
-    key, natural = NATURAL_KEYS[attr]
-    # a calendar is small whatever the load
-    bound = 0 if attr == "dates" else wh.bound(attr)
-    new = with_stored_keys(plan, spark.read.parquet(target), key, natural, natural, bound)
-    new = new.checkpoint(eager=True)            # read from the folder that is written to
-    if not new.isEmpty():
-        new.write.mode("append").parquet(target)
+def _write_dimension(wh: Warehouse, plan: DataFrame, attr: str, target: str, stored: list[str]) -> bool:
+    """Write the rows with new natural keys (the first load: all rows); whether
+    there were any."""
+    spark = plan.sparkSession
+    if stored:
+        key, natural = NATURAL_KEYS[attr]
+        # a calendar is small whatever the load
+        bound = 0 if attr == "dates" else wh.bound(attr)
+        plan = with_stored_keys(plan, spark.read.parquet(*stored), key, natural, natural, bound)
+    plan.write.parquet(target)
+    return not stored or not spark.read.schema(plan.schema).parquet(target).isEmpty()
+
+
+def _month_name(row) -> str:
+    year, month = (("__HIVE_DEFAULT_PARTITION__" if v is None else v) for v in (row["purchase_year"], row["purchase_month"]))
+    return f"purchase_year={year}/purchase_month={month}"
+
+
+def _read_months(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/fact_orders").parquet(*folders)
 
 
 def write_warehouse(wh: Warehouse, path: str) -> None:
-    """Load ``wh`` into ``path``.  The fact is partitioned by purchase
-    year/month; only the months of this load are rewritten, keeping the stored
-    rows of other orders in them.
+    """Load ``wh`` into ``path``.  The fact is partitioned by purchase year/month;
+    only the months that hold this load's orders, now or from an earlier load, are
+    written anew, with the stored rows of other orders in them (orders without a
+    purchase time are a month of their own).
 
     Dimensions are written first and the fact's key lookups read them back
     (as the loader of a database would), so no dimension is computed twice.
+    Nothing is visible to readers before the manifest is committed.
     """
     spark = wh.customers.sparkSession
     ensure_checkpoint_dir(spark)
+    before, load = snapshots.current(spark, path), uuid.uuid4().hex
     plans = {attr: getattr(wh, attr) for attr in DIMENSIONS}  # defined once, on this thread
+    folders = {attr: f"{path}/{VIEW_NAMES[attr]}/load={load}" for attr in DIMENSIONS}
     # the five dimension writes are independent: run them as concurrent jobs
     with ThreadPoolExecutor(max_workers=len(plans)) as pool:
-        list(pool.map(lambda a: _write_dimension(wh, plans[a], a, path), plans))
-    written = Warehouse(None, {attr: spark.read.parquet(f"{path}/{VIEW_NAMES[attr]}") for attr in DIMENSIONS})
+        grown = dict(zip(plans, pool.map(lambda a: _write_dimension(wh, plans[a], a, folders[a], before["tables"].get(a, [])), plans)))
+    tables = {attr: before["tables"].get(attr, []) + ([folders[attr]] if grown[attr] else []) for attr in DIMENSIONS}
+    written = Warehouse(None, {attr: spark.read.parquet(*tables[attr]) for attr in DIMENSIONS})
     # an already-loaded fact is copied as is; otherwise it is built on the
     # written dimensions
     fact = wh._tables["fact"] if "fact" in wh._tables else fact_orders(wh.raw, written)
     fact = fact.select(*FACT_COLUMNS)
+    orders = wh.raw.orders if wh.raw is not None else fact
     months = [F.year("order_purchase_timestamp").alias("purchase_year"), F.month("order_purchase_timestamp").alias("purchase_month")]
-    target, last, kept = f"{path}/fact_orders", None, None
-    if path_exists(spark, target):          # (a dynamic overwrite leaves no _SUCCESS)
-        stored = spark.read.parquet(target)
-        last = stored.agg(F.max("order_key")).first()[0]
-        # the months of the load (a calendar) prune the stored partitions
-        touched = F.broadcast(wh.raw.orders.select(*months).distinct()) if wh.raw is not None else F.broadcast(fact.select(*months).distinct())
-        kept = (stored.join(touched, ["purchase_year", "purchase_month"], "left_semi")
-                .join(fact.select("order_id"), "order_id", "left_anti")
-                .select("order_key", *FACT_COLUMNS).checkpoint(eager=True))
+    kept = None
+    if before["months"]:
+        ids = orders.select("order_id").distinct()
+        stored = _read_months(spark, path, list(before["months"].values()))
+        moved = stored.join(ids, "order_id", "left_semi").select("purchase_year", "purchase_month")
+        # a calendar's worth of rows; they choose the stored folders to read
+        touched = {_month_name(r) for r in orders.select(*months).unionByName(moved).distinct().collect()}
+        if mixed := [f for name, f in before["months"].items() if name in touched]:
+            kept = _read_months(spark, path, mixed).join(ids, "order_id", "left_anti").select("order_key", *FACT_COLUMNS)
     # Range-partitioning on every sort column gives each write task a
     # contiguous slice of time: few month folders per task, few files per
     # folder, and a busy month or a hot order is split over several tasks.
@@ -192,19 +206,36 @@ def write_warehouse(wh: Warehouse, path: str) -> None:
     # fact.  A retried task re-sorts its rows to the same total order, so
     # it writes the same keys.
     order = ["order_purchase_timestamp", "order_id", "product_key", "seller_key", "price", "freight_value"]
+    last = before["last_order_key"]
     start = F.lit(0 if last is None else last + 1).cast("long")
     rows = (fact.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
             .select((start + F.monotonically_increasing_id()).alias("order_key"), *FACT_COLUMNS))
     if kept is not None:
         rows = rows.unionByName(kept)
+    target = f"{path}/fact_orders/load={load}"
     (rows.select("*", *months)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+     .write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy("purchase_year", "purchase_month")
      .parquet(target))
+    added = snapshots.month_folders(spark, target)
+    if kept is not None:
+        gone = {name for name in touched if name not in added}
+        before["months"] = {name: f for name, f in before["months"].items() if name not in gone}
+    if added:
+        highest = spark.read.parquet(target).agg(F.max("order_key")).first()[0]
+        last = highest if last is None else max(last, highest)
+    if not added and not before["months"]:      # an empty load still has its columns
+        fact.limit(0).select(F.lit(0).cast("long").alias("order_key"), *FACT_COLUMNS, *months).write.parquet(f"{target}/none")
+        added = {"none": f"{target}/none"}
+    elif "none" in before["months"] and added:
+        del before["months"]["none"]
+    snapshots.commit(spark, path, {"number": before["number"], "tables": tables, "months": {**before["months"], **added}, "last_order_key": last})
 
 
 def read_warehouse(spark: SparkSession, path: str, raw: RawTables | None = None) -> Warehouse:
-    tables = {attr: spark.read.parquet(f"{path}/{VIEW_NAMES[attr]}") for attr in DIMENSIONS}
-    tables["fact"] = spark.read.parquet(f"{path}/fact_orders").select("order_key", *FACT_COLUMNS)
+    found = snapshots.current(spark, path)
+    tables = {attr: spark.read.parquet(*found["tables"][attr]) for attr in DIMENSIONS}
+    folders = list(found["months"].values())
+    fact = spark.read.parquet(*folders) if "none" in found["months"] else _read_months(spark, path, folders)
+    tables["fact"] = fact.select("order_key", *FACT_COLUMNS)
     return Warehouse(raw, tables)

@@ -47,7 +47,8 @@ def start_fact_stream(stream: DataFrame, wh, out_dir: str, checkpoint: str, avai
 
 
 def read_loaded(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{out_dir.rstrip('/')}/fact_orders").select(*FACT_COLUMNS)
+    from ..plans.warehouse import read_warehouse
+    return read_warehouse(spark, out_dir.rstrip("/")).fact.select(*FACT_COLUMNS)
 
 
 def load_orders_incrementally(spark: SparkSession, wh, folder: str, out_dir: str, checkpoint: str,

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from conftest import SF0001, SF001
 
 
 @pytest.fixture(scope="module")
@@ -94,7 +94,6 @@ def test_second_load_keeps_keys(spark):
 
     from pyspark.sql import functions as F
 
-    from conftest import SF0001
     from starloom.plans.warehouse import Warehouse, read_warehouse, warehouse_from_testdata, write_warehouse
     raw = warehouse_from_testdata(spark, SF0001).raw
     path = tempfile.mkdtemp(prefix="starloom-loads-")
@@ -116,3 +115,52 @@ def test_second_load_keeps_keys(spark):
     assert all(k in seen[2][0] for k in seen[0][0])     # the first load's rows are all there
     assert seen[1][3] == seen[2][3] == warehouse_from_testdata(spark, SF0001).fact.count()
     assert len(set(seen[2][1].values())) == len(seen[2][1]) and len(set(seen[2][2].values())) == len(seen[2][2])
+
+
+def _loads(spark, path, parts, **changes):
+    from dataclasses import replace
+    from starloom.plans.warehouse import Warehouse, read_warehouse, warehouse_from_testdata, write_warehouse
+    raw = replace(warehouse_from_testdata(spark, SF0001).raw, **changes)
+    for part in parts:
+        orders = raw.orders.where(part)
+        ids = orders.select("order_id")
+        write_warehouse(Warehouse(replace(
+            raw, orders=orders, **{t: getattr(raw, t).join(ids, "order_id", "left_semi") for t in ("items", "payments", "reviews")})), path)
+    return read_warehouse(spark, path)
+
+
+def test_orders_without_a_time_survive_reloads(spark, tmp_path):
+    """Null months, a null natural key, and an order whose month changes."""
+    from starloom.plans.warehouse import warehouse_from_testdata
+    raw = warehouse_from_testdata(spark, SF0001).raw
+    orders = raw.orders.withColumn("order_purchase_timestamp", F.when(F.col("order_id") % 10 != 3, F.col("order_purchase_timestamp")))
+    customers = raw.customers.union(raw.customers.limit(1).withColumn("customer_id", F.lit(None).cast("long")))
+    odd = F.col("order_id") % 2 == 1
+    wh = _loads(spark, str(tmp_path), (odd, ~odd, odd), orders=orders, customers=customers)
+    whole = warehouse_from_testdata(spark, SF0001).fact
+    count = lambda df: {r.order_id: r["count"] for r in df.groupBy("order_id").count().collect()}
+    assert count(wh.fact) == count(whole) and wh.fact.select("order_key").distinct().count() == whole.count()
+    assert wh.fact.where("order_purchase_timestamp IS NULL").select("order_id").distinct().count() == orders.where("order_id % 10 = 3").count()
+    assert wh.customers.where("customer_id IS NULL").count() == 1
+    # the times arrive: the orders leave the null month and are there once
+    wh = _loads(spark, str(tmp_path), (F.col("order_id") % 10 == 3,), customers=customers)
+    assert count(wh.fact) == count(whole) and wh.fact.where("order_purchase_timestamp IS NULL").count() == 0
+
+
+def test_a_load_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    from starloom.plans import warehouse as W
+    path, odd = str(tmp_path), F.col("order_id") % 2 == 1
+    before = sorted(_loads(spark, path, (odd,)).fact.select("order_key", "order_id").collect())
+    with monkeypatch.context() as m:
+        def die(*_):
+            raise RuntimeError("lost between dimensions and fact")
+        m.setattr(W, "fact_orders", die)
+        with pytest.raises(RuntimeError, match="lost between"):
+            _loads(spark, path, (~odd,))
+    wh = W.read_warehouse(spark, path)
+    assert sorted(wh.fact.select("order_key", "order_id").collect()) == before
+    stale = W.snapshots.current(spark, path)
+    _loads(spark, path, (~odd,))
+    with pytest.raises(RuntimeError, match="committed first"):
+        W.snapshots.commit(spark, path, stale)
+    assert W.read_warehouse(spark, path).fact.count() == W.warehouse_from_testdata(spark, SF0001).fact.count()
