@@ -85,7 +85,7 @@ def q_silhouette(spark, sf_dir):
     sample = S.silhouette_sample(assigned)
     full = S.silhouette(assigned)
     return spark.createDataFrame(
-        [(model.getK(), float(sample), float(full), float(model.summary.trainingCost))],
+        [(len(model.centers), float(sample), float(full), float(model.inertia))],
         "k int, silhouette double, silhouette_sq_euclidean_all double, inertia double")
 
 
