@@ -31,11 +31,18 @@ SURGE = 80
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
                     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-_RAW = frozenset("script style textarea noscript template iframe svg math select option object title head".split())
+_RAW = frozenset("script style textarea noscript template iframe select option object title annotation head".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-                    "small span strike strong sub sup time tt u var wbr".split())
+                    "small span strike strong sub sup time tt u var wbr "
+                    "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LEAF = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr option pre".split())    # closed by the next block
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# an opening tag of the key ends an open marked leaf of these tags
+_ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
+         "tr": {"td", "th", "tr", "p"}, "option": {"option"}}
+_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())      # with containers, what ends a paragraph
+_HOMES = frozenset("html body div section main article td th fieldset center form aside nav header footer".split())
 _FURNITURE = frozenset("nav footer aside form button dialog menu".split())
 _WORD = re.compile(
     r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
@@ -44,6 +51,7 @@ _WORD = re.compile(
 # words that only say where or in what form furniture stands
 _BESIDE = re.compile(r"(?:site|page|top|bottom|left|right|global|primary|secondary|main|mobile|sticky|box|bar|list|area|section|block|"
                      r"links?|buttons?|icons?|item|slot|unit|form|sign|up|\d\w*)", re.I)
+_PLACES = re.compile(r"header|masthead|topbar|top|title", re.I)     # no furniture on headings and inside articles
 _OTHERS = re.compile(r"comments?|commentlist|respond|replies|disqus|related|recommend\w*|cookies?|consent|gdpr", re.I)
 MOST = 0.75
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
@@ -80,7 +88,12 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            if tag not in ("html", "body", "article", "main", "h1") and _names(value):
+            named = _names(value) if tag not in ("html", "body", "main", "h1") else []
+            if tag == "article":                # a reader's comment can be an article
+                named = [x for x in named if _OTHERS.fullmatch(x)]
+            if tag in _HEADINGS or in_article:
+                named = [x for x in named if not _PLACES.fullmatch(x)]
+            if named:
                 return True
             if value.lower() in ("complementary", "contentinfo", "search", "dialog"):
                 return True
@@ -91,28 +104,32 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, link characters, furniture, inside article) per block line; text
+def lines_of(html: str) -> list[tuple[str, int, bool, bool, int]]:
+    """(text, link characters, furniture, inside article, container) per block line; text
     is decoded, its white space single.  A container that holds every article
     or main element or most of the text outside links is no furniture, unless
     it is hidden or other people's."""
-    lines: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
-    stack: list[tuple[str, bool, int | None]] = []    # open containers: (tag, lasting furniture, number of other furniture)
+    lines: list[tuple[str, int, bool, bool, tuple[int, ...], int]] = []
+    # open containers, and leaves that are furniture: (tag, lasting furniture, number of other furniture)
+    stack: list[tuple[str, bool, int | None]] = []
+    homes: list[int] = [0]                      # open containers that can hold a text, numbered
     boxes: list[int] = []                       # articles in every other furniture
     within: list[int] = []                      # those that are open
     text: list[str] = []
     linked: list[str] = []
-    state = {"leaf": False, "link": 0, "article": 0, "furniture": 0, "articles": 0}
+    state = {"link": 0, "article": 0, "furniture": 0, "articles": 0, "homes": 0}
 
     def flush():
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                link = len(" ".join(unescape("".join(linked)).split()))
-                lines.append((line, link, bool(state["furniture"]) or state["leaf"], state["article"] > 0, tuple(within)))
+                inside = unescape("".join(linked))
+                link = len(" ".join(inside.split()))
+                if link and sum(map(str.isalnum, inside)) >= sum(map(str.isalnum, line)):
+                    link = len(line)            # nothing but links and what stands between them
+                lines.append((line, link, bool(state["furniture"]), state["article"] > 0, tuple(within), homes[-1]))
             text.clear()
             linked.clear()
-        state["leaf"] = False
 
     def add(part: str):
         if part:
@@ -120,6 +137,16 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             if state["link"]:
                 linked.append(part)
 
+    def close(at: int):
+        for name, lasting, box in stack[at:]:
+            state["furniture"] -= lasting
+            if box is not None:
+                within.remove(box)
+            state["article"] -= name in ("article", "main")
+            if name in _HOMES:
+                homes.pop()
+        del stack[at:]
+
     pos = 0
     while True:
         m = _TOKEN.search(html, pos)
@@ -157,23 +184,25 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in _LEAF:
             state["link"] = 0
-            if not closing:
-                state["leaf"] = _is_furniture(tag, attributes, state["article"] > 0)
-            continue
         if closing:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            for name, lasting, box in stack[at:] if at is not None else ():
-                state["furniture"] -= lasting
-                if box is not None:
-                    within.remove(box)
-                state["article"] -= name in ("article", "main")
-            if at is not None:
-                del stack[at:]
-        elif not attributes.endswith("/"):
+            if at is not None and (tag not in _LEAF or not any(name not in _LEAF for name, _, _ in stack[at:])):
+                close(at)
+            continue
+        # leaves end without a tag of their own where the next begins
+        ends = _ENDS.get(tag, {"p"} if tag in _BLOCKS or tag not in _LEAF else set())
+        while stack and stack[-1][0] in _LEAF and (stack[-1][0] in ends or (stack[-1][0] in _HEADINGS and tag in _HEADINGS)):
+            close(len(stack) - 1)
+        if not attributes.endswith("/"):
             furniture = _is_furniture(tag, attributes, state["article"] > 0)
-            lasting = furniture and _lasting(attributes)
+            lasting = furniture and (_lasting(attributes) or tag in _LEAF)
+            if tag in _LEAF and not furniture:
+                continue
             stack.append((tag, lasting, len(boxes) if furniture and not lasting else None))
             state["furniture"] += lasting
+            if tag in _HOMES:
+                state["homes"] += 1
+                homes.append(state["homes"])
             if furniture and not lasting:
                 within.append(len(boxes))
                 boxes.append(0)
@@ -184,36 +213,38 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             state["article"] += tag in ("article", "main")
     flush()
     sizes, total = [0] * len(boxes), 0
-    for line, link, lasting, _, inside in lines:
+    for line, link, lasting, _, inside, _ in lines:
         if not lasting:
             total += len(line) - link
             for box in inside:
                 sizes[box] += len(line) - link
     kept = [n == state["articles"] if state["articles"] else size > MOST * total for n, size in zip(boxes, sizes)]
-    return [(line, link, lasting or not all(kept[box] for box in inside), article) for line, link, lasting, article, inside in lines]
+    return [(line, link, lasting or not all(kept[box] for box in inside), article, home) for line, link, lasting, article, inside, home in lines]
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Text between surge and dive of the page's line-block distribution."""
+    """Text between surge and dive of the page's line-block distribution.  Where
+    no article is marked, lines (not of links) that stand in the same container as
+    kept ones stay with them, however short: only furniture separates them."""
     lines = lines_of(html or "")
     if not lines:
         return ""
-    has_article = any(article and not furniture for _, _, furniture, article in lines)
+    has_article = any(article and not furniture for _, _, furniture, article, _ in lines)
     threshold = 1 if has_article else surge
     # furniture and what lies outside the article are gaps as wide as a window
-    kept_text: list[str | None] = []
+    slots: list[int | None] = []                # line number, None in gaps
     lengths: list[int] = []
-    for text, link, furniture, article in lines:
+    for number, (text, link, furniture, article, _) in enumerate(lines):
         if furniture or (has_article and not article):
-            kept_text += [None] * window
+            slots += [None] * window
             lengths += [0] * window
         else:
             menu = not has_article and link >= len(text)
-            kept_text.append(text)
+            slots.append(number)
             lengths.append(0 if menu else len(text) - (0 if has_article else link))
     padded = np.concatenate([lengths, np.zeros(window - 1, np.int64)])
     sums = np.convolve(padded, np.ones(window, np.int64), "valid")
-    best, best_size, out, at = (0, 0), 0, [], 0
+    best, best_size, spans, at = (0, 0), 0, [], 0
     while at < len(lengths):
         if not lengths[at]:
             at += 1
@@ -223,13 +254,15 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             end += 1
         size = int(sum(lengths[at:end]))
         if sums[at:end].max() >= threshold:
-            out += [t for t in kept_text[at:end] if t]
+            spans.append((at, end))
         if size > best_size:
             best, best_size = (at, end), size
         at = max(end, at + 1)
-    if not out:
-        out = [t for t in kept_text[best[0]:best[1]] if t]
-    return " ".join(out)
+    kept = {slots[i] for a, b in spans or [best] for i in range(a, b)} - {None}
+    if not has_article:
+        homes = {lines[n][4] for n in kept}
+        kept |= {n for n, length in zip(slots, lengths) if length and lines[n][4] in homes}
+    return " ".join(lines[n][0] for n in sorted(kept))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from starloom.llm import html_text
 
@@ -24,10 +26,57 @@ def test_pages(html, text):
 
 
 def test_windows_split_distant_text():
-    far = "<p>" + LONG * 4 + "</p>" + "<nav>m</nav>" + "<p>tiny</p>"
+    far = "<div><p>" + LONG * 4 + "</p></div>" + "<nav>m</nav>" + "<div><p>tiny</p></div>"
     assert html_text.main_text(far) == (LONG * 4).strip()
 
 
+STORY = (LONG * 3).strip()
+
+
+@pytest.mark.parametrize("html, text", [
+    # a marked leaf stays furniture to its end, over line breaks and nested blocks
+    ("<article><p class='ad'>BUY<br>NOW CHEAP</p><p>text</p></article>", "text"), ("<article><p hidden>SECRET<br>MORE</p><p>text</article>", "text"),
+    ("<article><ul><li class='share'>Share<p>on</p>here</li><li>kept</li></ul></article>", "kept"), ("<article><p class=ad>a<br>b<p>c</article>", "c"),
+    ("<article><p class=ad>a<div>b</div></article>", "b"), ("<article><ul><li class=share>x<ul><li>y</li></ul>z<li>k</ul></article>", "k"),
+    # comments that are articles of their own
+    ("<article><p>text</p><article class='comment'><p>nice read</p></article></article>", "text"),
+    ("<article class='post'><p>text</p></article><article class='comment'><p>" + LONG * 9 + "</p></article>", "text"),
+    # headings and headers inside the article
+    ("<article><h2 class='header'>Heading</h2><p>text</p></article>", "Heading text"),
+    ("<article><div class='header'><h1>Title</h1></div><p>text</p></article>", "Title text"), ("<article><h2 class='ad'>Buy</h2>text</article>", "text"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><svg><text>label</text></svg></article>", "so x=1 label"),
+    # without an article: what only furniture separates stays
+    ("<body><h1>Headline</h1><div class='ad'>buy</div><p>" + STORY + "</p></body>", "Headline " + STORY),
+    ("<body><p>" + STORY + "</p><div class='ad'>buy</div><p>The end.</p></body>", STORY + " The end."),
+    ("<body><p>" + STORY + "</p><aside>x</aside><p>Short.</p><aside>y</aside><p>" + STORY + "</p></body>", STORY + " Short. " + STORY),
+    ("<body><p>" + STORY + "</p><p><a href=1>More</a> <a href=2>links</a></p></body>", STORY),
+])
+def test_contract_traps(html, text):
+    assert html_text.main_text(html) == text
+
+
+INSIDE = ["<p>{}</p>", "<h2 class='header'>{}</h2>", "<div>{}</div>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", "<p>{}", "<div class='lead'><p>{}</p></div>",
+          "<figure><figcaption>{}</figcaption></figure>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<section>{}</section>"]
+OUTSIDE = ["<div class='ad'>{}</div>", "<aside><p>{}</p></aside>", "<p class='share'>{}<br>{}</p>", "<nav><ul><li>{}</li></ul></nav>", "<form>{}<input></form>", "<div hidden><p>{}</p></div>",
+           "<script>{}</script>", "<style>{}</style>", "<!-- {} -->", "<div class='cookie-notice'>{}</div>", "<section id='comments'><p>{}</p></section>",
+           "<article class='comment'>{}</article>", "<div style='display:none'>{}</div>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(0, 99), st.integers(1, 12)), min_size=1, max_size=25), st.sampled_from(["article", "main"]))
+def test_generated_pages(parts, tag):
+    """Pages made of known parts: exactly the article's blocks come back, in order."""
+    html, expected = [], []
+    for i, (inside, shape, size) in enumerate(parts):
+        words = " ".join(f"w{i}x{j}" for j in range(size))
+        shapes = INSIDE if inside else OUTSIDE
+        html.append(shapes[shape % len(shapes)].replace("{}", words))
+        if inside:
+            expected.append(words)
+    page = f"<html><head><title>T</title></head><body><header>Site</header><nav>m</nav><{tag}>{''.join(html)}</{tag}><footer>f</footer></body></html>"
+    assert html_text.main_text(page) == " ".join(expected)
+
+
 def test_long_page_is_read_whole():
     body = "".join(f"<p>paragraph {i} of the story</p>" for i in range(20_000))
     out = html_text.main_text(f"<body><article>{body}</article></body>")
