@@ -22,7 +22,8 @@ original vectors in double precision, ties go to the smaller id.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and vectors of another than the commonest length, take no part;
-fewer candidates than k are all returned; an empty table gives an empty result;
+fewer candidates than k are all returned; a query whose lists hold too few
+rows is asked again in all lists, and so is an outlier at once; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -44,6 +45,7 @@ CELL = 8
 BLOCK_ROWS = 65536
 QUERY_ROWS = 16384
 DEGREE = 16
+OUTLIERS = 0.99         # share of the sample's vectors that are no outliers
 RATIOS = (1.0, 1.01, 1.02, 1.03, 1.05, 1.07, 1.1, 1.15, 1.2, 1.3, 1.5, 2.0)
 
 
@@ -63,6 +65,7 @@ class Index:
     closure: float
     replicas: int
     ratio: float = np.inf
+    far: float = np.inf        # nearest-centroid distance beyond which a query counts as an outlier
 
     def nearest(self, x: np.ndarray, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of the centroid graph for all rows of ``x`` at once:
@@ -118,10 +121,16 @@ class Index:
         return out
 
     def probe(self, x: np.ndarray) -> np.ndarray:
-        """(rows, lists) bool: the lists a query looks into."""
+        """(rows, lists) bool: the lists a query looks into; all for outliers, which
+        the calibrated ratio says nothing about."""
         if not np.isfinite(self.ratio):
-            return np.ones((len(x), len(self.centroids)), bool)
-        return self.nearest(x, self.ratio, len(self.centroids))[0]
+            return self.everywhere(x)
+        probed, distance = self.nearest(x, self.ratio, len(self.centroids))
+        probed[distance.min(axis=1) > self.far] = True
+        return probed
+
+    def everywhere(self, x: np.ndarray) -> np.ndarray:
+        return np.ones((len(x), len(self.centroids)), bool)
 
 
 def fit(sample: np.ndarray, k: int = 5, target: float = 0.98, closure: float = 1.1, replicas: int = 2,
@@ -154,6 +163,7 @@ def fit(sample: np.ndarray, k: int = 5, target: float = 0.98, closure: float = 1
     scores[np.arange(len(asked)), np.arange(len(asked))] = -2
     truth = np.argsort(-scores, axis=1, kind="stable")[:, :min(k, len(sample) - 1)]
     stored = index.assign(sample)
+    index.far = float(np.quantile(np.sqrt(np.maximum(2 - 2 * (sample @ centroids.T).max(axis=1), 0)), OUTLIERS))
     if truth.size:
         for ratio in RATIOS:
             probed, _ = index.nearest(asked, ratio, lists)
@@ -220,18 +230,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
 
     stored = materialise(entries.mapInArrow(deal("entry", ["ids", "v"], lambda x: index.value.assign(x)),
                                             "cell long, bits long, ids array<long>, v array<double>"), "posting-lists")
-    sent = materialise(distinct.mapInArrow(deal("asked", ["asked", "v"], lambda x: index.value.probe(x)),
-                                           "cell long, bits long, asked long, v array<double>"), "probes")
-    # bounded: one row per cell
-    sizes = (stored.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long").alias("blocks"))
-             .join(sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("long").alias("turns")), "cell"))
-    sizes = F.broadcast(materialise(sizes, "cells"))
-    left = (stored.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")))
-            .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("blocks", "turns"))
-    right = (sent.join(sizes, "cell").withColumn("turn", F.pmod(F.xxhash64("asked"), F.col("turns")))
-             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("cell", F.col("bits").alias("q_bits"), "asked", F.col("v").alias("q"), "block", "turn"))
-
     def meet(lists: pa.Table, probes: pa.Table) -> pa.Table:
         out = {"asked": [], "id": [], "score": []}
         if lists.num_rows and probes.num_rows:
@@ -255,10 +253,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         return pa.table({"asked": pa.array(out["asked"], pa.int64()), "id": pa.array(out["id"], pa.int64()),
                          "score": pa.array(out["score"], pa.float64())})
 
-    keys = ["cell", "block", "turn"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "asked long, id long, score double")
     by_score = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
-    best = (met.distinct().withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1).drop("n"))
+
+    def answers(wanted: DataFrame, chosen) -> DataFrame:
+        """(asked, id, score): the k + 1 nearest in the lists that ``chosen`` picks."""
+        sent = materialise(wanted.mapInArrow(deal("asked", ["asked", "v"], chosen), "cell long, bits long, asked long, v array<double>"), "probes")
+        # bounded: one row per cell
+        sizes = (stored.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long").alias("blocks"))
+                 .join(sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("long").alias("turns")), "cell"))
+        sizes = F.broadcast(materialise(sizes, "cells"))
+        left = (stored.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")))
+                .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("blocks", "turns"))
+        right = (sent.join(sizes, "cell").withColumn("turn", F.pmod(F.xxhash64("asked"), F.col("turns")))
+                 .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+                 .select("cell", F.col("bits").alias("q_bits"), "asked", F.col("v").alias("q"), "block", "turn"))
+        keys = ["cell", "block", "turn"]
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "asked long, id long, score double")
+        return met.distinct().withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1).drop("n")
+
+    best = materialise(answers(distinct, lambda x: index.value.probe(x)), "answers")
+    # queries whose lists held too few rows look into all
+    enough = min(k + 1, rows.select("id").distinct().limit(k + 1).count())
+    short = materialise(distinct.join(best.groupBy("asked").agg(F.count(F.lit(1)).alias("found")), "asked", "left")
+                        .where(F.coalesce("found", F.lit(0)) < enough).select("asked", "v"), "short-queries")
+    if not short.isEmpty():
+        best = (best.join(short.select("asked"), "asked", "left_anti")
+                .unionByName(answers(short, lambda x: index.value.everywhere(x))))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (named.select("query_id", "asked").distinct().join(best, "asked").withColumnRenamed("id", "vec_id")
             .where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(ranked))

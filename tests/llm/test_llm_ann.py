@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from starloom.llm import ann
 
@@ -75,3 +76,23 @@ def test_graph_search_and_boundaries():
     assert stored[np.arange(len(x)), nearest].mean() > 0.95
     sizes = stored.sum(axis=0)
     assert sizes.max() < 4 * sizes.mean()
+
+
+def test_clusters_with_outliers_are_answered_whole(spark):
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(40, 16))
+    x = np.vstack([middles[i % 40] + rng.normal(0, 0.03, 16) for i in range(4000)] + [rng.normal(0, 1, 16) * 2 for _ in range(20)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [*range(0, 3000, 50), *range(4000, 4020)]
+    got = {}
+    for r in ann.search(df, df.where(F.col("vec_id").isin(asked))).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits, outlier_hits = [], []
+    for q in asked:
+        cos = unit @ unit[q]
+        cos[q] = -2
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        share = len(set(got[q].values()) & set(np.argsort(-cos)[:5].tolist())) / 5
+        (outlier_hits if q >= 4000 else hits).append(share)
+    assert np.mean(hits) >= 0.9 and np.mean(outlier_hits) >= 0.9
