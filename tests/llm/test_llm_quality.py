@@ -56,11 +56,61 @@ def test_junk_is_rejected_and_clean_kept(spark):
     assert all(r['__q_base_failed'] == (brute((good + junk + [None, "few words"])[r.doc_id])[0] < 20) for r in rows)
 
 
-def test_empty_table_and_fit():
-    assert quality.fit([], 8) == {}
-    posterior = quality.fit([(6560, 1000), (6560 - 2 * 3 ** 5, 60)], 8)
-    assert posterior[6560] > 0.9 > 0.5 > posterior[6560 - 2 * 3 ** 5]
+NAMES = [*quality.KINDS, *quality.HINTS]
+
+
+def code(**votes):
+    out = 0
+    for name in NAMES:
+        out = out * 3 + votes.get(name, 1) + 1
+    return out
+
+
+def plain_em(patterns, rounds):
+    """The same estimation, document by document."""
+    kinds = [n for n in NAMES if n in quality.KINDS]
+    docs = [dict(zip(NAMES, quality._votes(c, len(NAMES)))) for c, n in patterns for _ in range(n)]
+    classes = [*kinds, "good"]
+    before = {k: {n: (quality.OWN_JUNK if n == k else quality.OTHER_JUNK if n in kinds else quality.HINT_ALARM) if k != "good"
+                  else quality.FALSE_ALARM if n in kinds else quality.HINT_ALARM for n in NAMES} for k in classes}
+    worth = {k: {n: 2 + len(docs) * (quality.TRUST_ALARM if k == "good" and n in kinds else quality.TRUST) for n in NAMES} for k in classes}
+    bad, share = {k: dict(v) for k, v in before.items()}, {k: 0.8 if k == "good" else 0.2 / len(kinds) for k in classes}
+    for _ in range(rounds):
+        given = []
+        for d in docs:
+            mass = {k: share[k] for k in classes}
+            for k in classes:
+                for n, v in d.items():
+                    mass[k] *= bad[k][n] if v == 0 else 1 - bad[k][n] if v == 2 else 1
+            given.append({k: m / sum(mass.values()) for k, m in mass.items()})
+        for k in classes:
+            share[k] = (sum(g[k] for g in given) + 1) / (len(docs) + len(classes))
+            for n in NAMES:
+                no, yes = (sum(g[k] for g, d in zip(given, docs) if d[n] == v) for v in (0, 2))
+                bad[k][n] = (no + worth[k][n] * before[k][n]) / (no + yes + worth[k][n])
+    return {tuple(d.values()): g["good"] for d, g in zip(docs, given)}
+
+
+def test_estimation_equals_a_plain_one():
+    patterns = [(code(), 60), (code(symbols=-1), 12), (code(symbols=-1, line_ends=-1), 5), (code(length=-1), 9), (code(repeats=-1), 1),
+                (code(capitals=0, digits=-1, line_ends=-1), 4), (code(dup_lines=-1, repeats=-1), 3)]
+    got = quality.fit(patterns, rounds=7, tolerance=0)
+    want = plain_em(patterns, 7)
+    assert all(abs(got[c] - want[tuple(quality._votes(c, len(NAMES)))]) < 1e-9 for c, _ in patterns)
+    assert quality.fit([]) == {}
+
+
+def test_verdict_is_not_all_must_pass():
+    """Failed hints and rare lone alarms are forgiven; a common kind of junk is not, nor
+    hints that go with it."""
+    patterns = [(code(), 9000), (code(symbols=-1), 500), (code(symbols=-1, digits=-1, line_ends=-1), 300), (code(length=-1), 700), (code(line_ends=-1), 200),
+                (code(variety=-1), 4), (code(digits=-1, line_ends=-1), 30)]
+    good = quality.fit(patterns)
+    assert good[code()] > 0.99 and good[code(length=-1)] > 0.9 and good[code(line_ends=-1)] > 0.5 and good[code(variety=-1)] > 0.5
+    assert good[code(symbols=-1)] < 0.5 and good[code(symbols=-1, digits=-1, line_ends=-1)] < 0.01
+    assert good[code(digits=-1, line_ends=-1)] < good[code(digits=-1)] if code(digits=-1) in good else True
 
 
 def test_judge_empty(spark):
+    assert list(quality.rules()) == NAMES
     assert quality.judge(counted(spark, TEXTS).limit(0)).count() == 0
