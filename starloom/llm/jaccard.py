@@ -19,7 +19,7 @@ Posting lists.  No list is turned into all its pairs.  Lists are cut into size
 bands, and members without a partner of a fitting size leave.  Every member is
 first verified against its band's smallest member (leader); links give labels
 (connected components).  Only lists that still hold several labels are looked
-at again, in rounds with four times as many leaders each: the round's leaders
+at again, in rounds with many times as many leaders each: the round's leaders
 meet the members of other labels (that the sizes and the triangle inequality of
 the Jaccard distance through a first leader leave possible), links join labels, and lists
 with one label leave.  In the last round all members lead, so no pair of different
@@ -53,7 +53,7 @@ FREQUENT = 8                # reported documents from which a token counts as fr
 MAX_FREQUENT = 1 << 20      # the most frequent tokens kept (8 MB); the rest count as rare
 BUCKETS = 64
 FILTER_BITS = 1 << 26       # 8 MB
-ROUND_GROWTH = 4            # leaders of a list, from round to round
+ROUND_GROWTH = 64           # leaders of a list, from round to round
 LIST_SLOT = 4096            # members of a list that meet its leaders in one group
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -296,8 +296,10 @@ def _verify(texts: DataFrame, pairs: DataFrame, n: int, scheme: Scheme) -> DataF
     shared = F.size(F.array_intersect("ta", "tb"))
     counted = both.select("a", "b", shared.alias("shared"), (F.size("ta") + F.size("tb")).alias("sizes"))
     union = F.col("sizes") - F.col("shared")
-    return checkpointed(counted.select("a", "b", (F.col("shared") / union).alias("similarity"),
-                                       (scheme.den * F.col("shared") >= scheme.num * union).alias("linked")))
+    judged = checkpointed(counted.select("a", "b", (F.col("shared") / union).alias("similarity"),
+                                         (scheme.den * F.col("shared") >= scheme.num * union).alias("linked")))
+    discard(sets)
+    return judged
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -373,8 +375,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(first.where("linked").select("a", "b"))
 
     # Lists that hold several labels, in rounds.  A member is a leader from the round on
-    # that a hash gives it: about four times as many of a list in every round, in the last
-    # all.  A pair is due when the first of its two becomes a leader, and only
+    # that a hash gives it: one or a few of a list, then ``ROUND_GROWTH`` times as many, in the
+    # last round all.  A pair is due when the first of its two becomes a leader, and only
     # if no links found so far have joined their labels.
     near = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity")
     mixed = _mixed(members, labels)
@@ -393,6 +395,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
         mixed = _mixed(rest, labels)
+    discard(rest)
 
     named = classes.select("digest", "node").join(labels, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
