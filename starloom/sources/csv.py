@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import parse_timestamp
 from ..session import path_bytes
+from .quoted import read_quoted
 from .raw import MONEY, RawTables
 
 # File names of the marketplace dataset.
@@ -30,16 +31,16 @@ FILES = {
 }
 
 
-# Review comments are free text: quoted fields may hold line breaks, so the
-# file can't be split inside (one task per file; the others are splittable).
+# Review comments are free text: quoted fields may hold line breaks, so records
+# are found by the parity of quotes (``quoted``), in many tasks a file like the others.
 MULTI_LINE = frozenset({"reviews"})
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header-named string columns; malformed lines are kept (PERMISSIVE)."""
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
-            .csv(path))
+    plain = (spark.read.option("header", True).option("inferSchema", False)
+             .option("mode", "PERMISSIVE").option("escape", '"').csv(path))
+    return read_quoted(spark, path, [c.lstrip("\ufeff") for c in plain.columns]) if multi_line else plain
 
 
 def _strip_bom(df: DataFrame) -> DataFrame:
@@ -92,10 +93,13 @@ def malformed_rows(spark: SparkSession, path: str, multi_line: bool = False) ->
     (Spark refuses a query on the corrupt-record column alone)."""
     from pyspark.sql.types import StringType, StructField, StructType
     header = [c.lstrip("\ufeff") for c in read_csv(spark, path, multi_line).columns]
-    schema = StructType([StructField(c, StringType()) for c in header]
-                        + [StructField("_corrupt_record", StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", multi_line).option("escape", '"').csv(path))
+    if multi_line:
+        df = read_quoted(spark, path, header, "_corrupt_record")
+    else:
+        schema = StructType([StructField(c, StringType()) for c in header]
+                            + [StructField("_corrupt_record", StringType())])
+        df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record").option("escape", '"').csv(path))
     chars = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in header]))
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   F.count_if(F.col("_corrupt_record").isNotNull()).alias("malformed_rows"),
