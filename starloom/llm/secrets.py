@@ -58,7 +58,7 @@ ADDED_RULES = (
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
     Rule("private_key", rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("bearer", rb"bearer\x20+[A-Za-z0-9._~+/-]{20,}=*", ignore_case=True),
-    Rule("url_login", rb"[a-z]{2,10}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("url_login", rb"[a-z]{2,10}://[^\s/:@]*:[^\s/:@]{3,}@"),
 )
 RULES = BASE_RULES + ADDED_RULES
 

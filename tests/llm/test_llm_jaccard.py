@@ -126,3 +126,14 @@ def test_sketches_never_underestimate(size_x, size_y, share, seed):
 def test_full_sketch_bytes_are_added_back():
     full = np.full(16, 255, np.uint8).tobytes()
     assert jaccard._most_shared(full, full, 10_000, 9_000) == 16 * 255 + 9_000 - 16 * 255
+
+
+def test_many_rounds_find_the_same(spark, monkeypatch):
+    """Leaders doubled from round to round, short slots: nothing between two labels is missed."""
+    monkeypatch.setattr(jaccard, "ROUND_GROWTH", 2)
+    monkeypatch.setattr(jaccard, "LIST_SLOT", 5)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    rows = corpus(3, docs=120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+    assert got == brute(rows, 3, 90, 100)

@@ -55,3 +55,45 @@ def test_only_copies_stay_whole(spark):
     assert all(got[i] == (f"own text {i}", 2) for i in range(4)) and got[4] == ("", 2)
     assert all(got[i] == (t, 0) for i, t, _, _ in rows if 10 <= i < 20)
     assert all(got[i] == ("pair", 1) for i in (20, 21))
+
+
+def brute_copies(rows, min_sites):
+    """The registered rule: a text made mostly of widespread lines stays whole only
+    where such texts of the very same lines are on ``min_sites`` sites."""
+    def lines_of(text):
+        return [ln.strip(line_dedup.BLANKS) for ln in (text or "").split("\n")]
+
+    sites, copies = {}, {}
+    for _, text, source, _ in rows:
+        for line in lines_of(text):
+            if line:
+                sites.setdefault(line, set()).add(source or "")
+    wide = [[bool(ln) and len(sites[ln]) >= min_sites for ln in lines_of(r[1])] for r in rows]
+    mostly = [r[1] is not None and sum(len(ln) for ln, w in zip(r[1].split("\n"), m) if w) > 0.5 * len(r[1]) for r, m in zip(rows, wide)]
+    for (_, text, source, _), m in zip(rows, mostly):
+        if m:
+            copies.setdefault(frozenset(lines_of(text)) - {""}, set()).add(source or "")
+    out = []
+    for (doc, text, _, _), w, m in zip(rows, wide, mostly):
+        if text is None or (m and len(copies[frozenset(lines_of(text)) - {""}]) >= min_sites):
+            w = [False] * len(w)
+        out.append((doc, None if text is None else "\n".join(ln for ln, x in zip(text.split("\n"), w) if not x), sum(w)))
+    return sorted(out, key=str)
+
+
+def test_registered_rule_against_brute_force(spark):
+    import random
+    rng = random.Random(8)
+    shared = [f"shared line number {i} of this collection" for i in range(12)]
+    rows = []
+    for i in range(120):
+        own = [f"own {i} {j} " + "text " * rng.randrange(12) for j in range(rng.randrange(3))]
+        some = rng.sample(shared, rng.randrange(4)) if i % 3 else shared[i % 4:i % 4 + 3]
+        lines = own + some + rng.choice([[], [""], ["  "]])
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines) if i % 40 else None, rng.choice([None, *(f"s{k}" for k in range(9))]), "x"))
+    rows += rows[5:8]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, SCHEMA), min_sites=4, copies_only=True).collect()
+    expected = brute_copies(rows, 4)
+    assert sorted([(r.doc_id, r.text, r["__l_n_removed"]) for r in got], key=str) == expected
+    assert any(n for _, _, n in expected) and any(t and not n for _, t, n in expected)

@@ -9,7 +9,7 @@ def test_registered():
     import __spark_entry__ as entry
     names = set(entry.queries())
     assert {n for n in names if n.startswith("op")} >= set(queries.QUERIES) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(entry.oracle_sql()) <= names
 
 

@@ -57,3 +57,10 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert out[1].text == "a [access] b" and out[1].spans == "k" and out[2].text is None and out[3].text == "" and out[4].text == "clean"
     assert secrets.redact_secrets(df).schema == df.schema
     assert secrets.redact_secrets(df.limit(0)).count() == 0 and secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_logins_of_any_length(spark):
+    token = "github_pat_" + "A1b2" * 60
+    rows = [(1, f"https://user:{token}@host/x"), (2, "redis://:password@cache:6379"), (3, "https://host:8080/a@b"), (4, "see http://a:b@c"), (5, "x://" + "u" * 500 + ":" + "p" * 500 + "@h")]
+    out = {r.doc_id: [s["kind"] for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "url_login" in out[1] and out[2] == ["url_login"] and out[3] == [] and out[4] == [] and out[5] == []
