@@ -180,7 +180,7 @@ def q_log_spend(spark, sf_dir):
     return logged.select("customer_id", *[F.round(c, 9).alias(c) for c in C.LOG_FEATURES])
 
 
-def _scaled_sql() -> str:
+def scaled_sql() -> str:
     cols = C.SEGMENT_FEATURES
     filled = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0) AS {c}" for c in cols)
     z = ", ".join(f"round(({c} - avg({c}) OVER ()) / COALESCE(NULLIF(stddev_pop({c}) OVER (), 0), 1), 6) AS {c}"
@@ -188,7 +188,7 @@ def _scaled_sql() -> str:
     return f"SELECT customer_id, {z} FROM (SELECT customer_id, {filled} FROM cf)"
 
 
-@register("customer_features_scaled", oracle(_scaled_sql(), CF_CTE))
+@register("customer_features_scaled", oracle(scaled_sql(), CF_CTE))
 def q_customer_features_scaled(spark, sf_dir):
     scaled = C.standardize(C.customer_features(_wh(spark, sf_dir)))
     return scaled.select("customer_id", *[F.round(c, 6).alias(c) for c in C.SEGMENT_FEATURES])

@@ -13,19 +13,21 @@ import threading
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models import forecast as FC
 from ..models import review_classifier as RC
 from ..models import segments as S
+from ..models.lloyd import Clusters
 from ..operators import reviews as R
-from ..operators.customers import customer_features
+from ..operators.customers import SEGMENT_FEATURES, customer_features
 from ..plans.catalog import register
 from ..plans.oracle import oracle
 from ..plans.warehouse import DIMENSIONS, VIEW_NAMES, loaded_warehouse, read_warehouse, write_warehouse
 from ..session import ensure_checkpoint_dir
-from .features import REVIEW_BASE_CTE
+from .features import CF_CTE, REVIEW_BASE_CTE, scaled_sql
 
 _MEMO: dict = {}
 _LOCK = threading.RLock()
@@ -67,6 +69,56 @@ def q_segment_summary(spark, sf_dir):
     return S.segment_summary(S.score_customers(spark, path, feats))
 
 
+# Centres in standardised features, for the arithmetic after a fit.
+GIVEN_CENTERS = [[0.0] * 10, [1.0] * 10, [-1.0] * 10, [1.0, -1.0] * 5]
+
+
+def _given_cte() -> str:
+    """Customers with the nearest given centre, and its name by rank."""
+    far = "[" + ", ".join(
+        " + ".join(f"power(z.{f} - ({v}), 2)" for f, v in zip(SEGMENT_FEATURES, c)) for c in GIVEN_CENTERS) + "]"
+    return f"""{CF_CTE},
+z AS ({scaled_sql()}),
+far AS (SELECT customer_id, {far} AS d FROM z),
+assigned AS (SELECT cf.*, CAST(list_position(d, list_min(d)) - 1 AS INT) AS cluster FROM cf JOIN far USING (customer_id)),
+ranks AS (SELECT cluster, avg(avg_review_score) AS review, avg(total_spent) AS spend FROM assigned GROUP BY cluster),
+lowest AS (SELECT cluster FROM ranks ORDER BY review, cluster LIMIT 1),
+names AS (
+  SELECT cluster, CASE WHEN cluster = (FROM lowest) THEN '{S.FRUSTRATED}'
+         ELSE ({S.BY_SPEND})[row_number() OVER (PARTITION BY cluster = (FROM lowest) ORDER BY spend DESC, cluster)] END AS segment
+  FROM ranks)"""
+
+
+def _given(spark, sf_dir):
+    """Customers under the given centres, assigned and named like a fitted model's."""
+    def build():
+        vecs = S.segment_vectors(loaded_warehouse(spark, sf_dir))[0]
+        return S.assign_segments(Clusters(np.array(GIVEN_CENTERS), 0.0), vecs).cache()
+    return _memo(spark, sf_dir, "segments-given", build)
+
+
+@register("segment_summary_given", oracle("""
+SELECT cluster, segment, count(*) AS customer_count, round(avg(total_spent), 2) AS avg_spent, round(avg(avg_review_score), 2) AS avg_review,
+       round(avg(avg_delivery_days), 2) AS avg_delivery
+FROM assigned JOIN names USING (cluster) GROUP BY cluster, segment""", _given_cte()))
+def q_segment_summary_given(spark, sf_dir):
+    return S.segment_summary(_given(spark, sf_dir))
+
+
+@register("cluster_sizes_given", oracle("""
+SELECT cluster, count(*) AS customers, round(count(*) * 100.0 / (SELECT count(*) FROM assigned), 1) AS pct FROM assigned GROUP BY cluster""", _given_cte()))
+def q_cluster_sizes_given(spark, sf_dir):
+    return S.cluster_sizes(_given(spark, sf_dir))
+
+
+@register("cluster_profile_given", oracle(
+    f"SELECT *, {', '.join(f'({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) AS {c}_norm' for c in SEGMENT_FEATURES)} FROM means",
+    _given_cte() + f""",
+means AS (SELECT cluster, {', '.join(f'round(avg({c}), 2) AS {c}' for c in SEGMENT_FEATURES)} FROM assigned GROUP BY cluster)"""))
+def q_cluster_profile_given(spark, sf_dir):
+    return S.cluster_profile(_given(spark, sf_dir))
+
+
 @register("cluster_sizes")
 def q_cluster_sizes(spark, sf_dir):
     return S.cluster_sizes(_segments(spark, sf_dir)[2])
