@@ -37,9 +37,10 @@ def test_nulls_repeats_extra_columns_and_empty(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(1, text, "en", None, 3, "x"), (1, text, "en", None, 3, "x"), (2, None, None, "s", None, "y"), (None, text + " tail", "en", "s", 3, None),
             (3, "", "en", "s", 0, "z"), (4, text + " password = abcdefghijklmnop", "en", "s", 9, "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __hash string")
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, SMALL).persist()
+        assert "__hash" not in df.columns or {r["__hash"] for r in df.collect()} <= {"x", "z", None}
         assert stage(spark, df.limit(0), SMALL).count() == 0 if "text" in df.columns else True
     assert {r.doc_id for r in df.collect()} <= {1, 4, None}
 
