@@ -35,8 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     smallest id of each group stays, and one row of repeated rows."""
     grouped = jaccard.near_duplicates(docs, n=5, num=80, den=100)
     dropped = grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").withColumn("__hash", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    mark = max([*docs.columns, "_"], key=len) + "_hash"         # no column of the documents
+    kept = docs.join(dropped, "doc_id", "left_anti").withColumn(mark, F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
