@@ -65,12 +65,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` is there, on whatever file system it names."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def path_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of the file or folder ``path``."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
