@@ -1,7 +1,7 @@
 """starloom: a Spark-native retail star-schema warehouse, marts and models.
 
 Raw marketplace tables -> dimensions + fact (``operators``) -> marts and
-feature tables (``operators``) -> ``pyspark.ml`` models (``models``).
+feature tables (``operators``) -> models fitted in shared Spark passes (``models``).
 Everything is a lazy DataFrame plan; nothing passes whole through the
 driver.
 """

@@ -1,2 +1,2 @@
-"""Data-parallel models on ``pyspark.ml``: customer segments, review
+"""Data-parallel models: customer segments, review
 classifier, daily revenue forecast."""
