@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import blocks, column, split_words, word_list
 from .components import components
-from .storage import checkpointed, discard, materialise
+from .storage import checkpointed, discard, materialise, settle
 
 SUBCLASSES = 16
 REPORT_TOKENS = 2_000_000   # tokens after which a task reports repeated ones
@@ -368,11 +368,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings_of = members
     members = materialise(members.join(cells, ["signature", "band"]), "banded-postings")
     discard(postings_of)
+    settle(spark)
 
     led = (members.where((F.col("node") != F.col("leader")) & close(F.col("n"), F.col("leader_n")))
            .select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     first = _verify(texts, _prune(led, classes, scheme), n, scheme)
     labels = components(first.where("linked").select("a", "b"))
+    settle(spark)
 
     # Lists that hold several labels, in rounds.  A member is a leader from the round on
     # that a hash gives it: one or a few of a list, then ``ROUND_GROWTH`` times as many, in the
@@ -386,6 +388,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members.join(mixed, "signature").select("signature", "node", "n", "leader", "size", F.when(share > 0, turn).otherwise(0).alias("turn"))
         .join(near, ["leader", "node"], "left").join(classes.select("node", "buckets"), "node"), "mixed-postings")
     discard(members)
+    settle(spark)
     turns = rest.agg(F.max("turn")).first()[0]
     for now in range(0 if turns is None else turns + 1):
         if mixed.isEmpty():
@@ -395,6 +398,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
         mixed = _mixed(rest, labels)
+        settle(spark)
     discard(rest)
 
     named = classes.select("digest", "node").join(labels, "node", "left").select(

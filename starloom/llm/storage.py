@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,13 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps: it acts when the
+    driver collects their dead plans, which a driver with room to spare puts off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for small tables (Spark's cleaner removes it)."""
     ensure_checkpoint_dir(df.sparkSession)
