@@ -23,7 +23,9 @@ at again, in rounds with many times as many leaders each: the round's leaders
 meet the members of other labels (that the sizes and the triangle inequality of
 the Jaccard distance through a first leader leave possible), links join labels, and lists
 with one label leave.  In the last round all members lead, so no pair of different
-labels is missed.
+labels is missed.  Similar sets share many lists; a list leaves a pair to the others if
+both members have a smaller signature among their lowest ones in common, so that the
+list of the smallest common signature always meets it.
 Exact upper bounds of the overlap (bucket counts of the two sets, coarse ones in
 the second look's join, finer sketches after) prune the candidates; the rest are
 verified on the full sets, recomputed from the texts of the candidates alone.
@@ -55,6 +57,7 @@ BUCKETS = 64
 FILTER_BITS = 1 << 26       # 8 MB
 ROUND_GROWTH = 64           # leaders of a list, from round to round
 LIST_SLOT = 4096            # members of a list that meet its leaders in one group
+LOWEST = 16                 # signatures of a member that tell whether a pair is met in another list
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -315,15 +318,15 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _due_pairs(rest: DataFrame, mixed: DataFrame, labels: DataFrame, now: int, scheme: Scheme) -> DataFrame:
-    """Distinct pairs (a, b) of different labels, one of which leads from this round
+    """Pairs (a, b), seldom repeated, of different labels, one of which leads from this round
     on and the other does not lead yet, that sizes, the triangle inequality of the
-    Jaccard distance through a first leader, and bucket counts leave possible.
-    Long lists are dealt to slots, each met by all of the round's leaders."""
+    Jaccard distance through a first leader, and bucket counts leave possible, and that
+    no list of a smaller signature among the ``lower`` ones of both meets.  Long lists are dealt to slots, each met by all of the round's leaders."""
     open_lists = _labelled(rest.where(F.col("turn") >= now).join(mixed.select("signature"), "signature", "left_semi"), labels)
     slots = F.ceil(F.col("size") / LIST_SLOT).cast("int")
     held = open_lists.withColumn("slot", F.pmod(F.xxhash64("node"), slots).cast("int"))
     leads = open_lists.where(F.col("turn") == now).withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1)))
-    leads = leads.select(*[F.col(c).alias(f"{c}_x") for c in ("signature", "slot", "node", "n", "label", "leader", "similarity", "buckets")])
+    leads = leads.select(*[F.col(c).alias(f"{c}_x") for c in ("signature", "slot", "node", "n", "label", "leader", "similarity", "buckets", "lower")])
     n, n_x = F.col("n"), F.col("n_x")
     close = scheme.den * F.least(n, n_x) >= scheme.num * F.greatest(n, n_x)
     apart = (F.col("leader") == F.col("leader_x")) & F.coalesce(
@@ -332,8 +335,9 @@ def _due_pairs(rest: DataFrame, mixed: DataFrame, labels: DataFrame, now: int, s
     once = (F.col("turn") > now) | (F.col("node_x") < F.col("node"))
     bound = F.aggregate(F.zip_with("buckets", "buckets_x", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
     return (held.join(leads, (F.col("signature") == F.col("signature_x")) & (F.col("slot") == F.col("slot_x")) & (F.col("label") != F.col("label_x"))
-                      & close & ~apart & ~met & once & (scheme.den * bound >= scheme.num * (n + n_x - bound)))
-            .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
+                      & close & ~apart & ~met & once & ~F.arrays_overlap("lower", "lower_x")
+                      & (scheme.den * bound >= scheme.num * (n + n_x - bound)))
+            .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
@@ -384,16 +388,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = _mixed(members, labels)
     share = F.pmod(F.xxhash64("node", "signature"), F.lit(1 << 40)) / float(1 << 40)
     turn = F.greatest(F.lit(0), F.ceil(F.log(float(ROUND_GROWTH), share * F.col("size")))).cast("int")
+    # counted over the lists mixed now, whatever lists leave later: a list that has left
+    # holds one label, and so do its pairs
+    lowest = (members.join(mixed.select("signature"), "signature", "left_semi").groupBy("node")
+              .agg(F.slice(F.sort_array(F.collect_list("signature")), 1, LOWEST).alias("lowest")))
     rest = materialise(
         members.join(mixed, "signature").select("signature", "node", "n", "leader", "size", F.when(share > 0, turn).otherwise(0).alias("turn"))
-        .join(near, ["leader", "node"], "left").join(classes.select("node", "buckets"), "node"), "mixed-postings")
+        .join(near, ["leader", "node"], "left").join(classes.select("node", "buckets").join(lowest, "node"), "node")
+        .withColumn("lower", F.filter("lowest", lambda x: x < F.col("signature"))).drop("lowest"), "mixed-postings")
     discard(members)
     settle(spark)
     turns = rest.agg(F.max("turn")).first()[0]
     for now in range(0 if turns is None else turns + 1):
         if mixed.isEmpty():
             break
-        second = _verify(texts, _prune(_due_pairs(rest, mixed, labels, now, scheme), classes, scheme), n, scheme)
+        second = _verify(texts, _prune(_due_pairs(rest, mixed, labels, now, scheme).distinct(), classes, scheme), n, scheme)
         more = second.where("linked").select("a", "b")
         if not more.isEmpty():
             labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))

@@ -137,3 +137,24 @@ def test_many_rounds_find_the_same(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
     assert got == brute(rows, 3, 90, 100)
+
+
+def test_lists_leave_a_pair_to_one_of_them(spark):
+    """Sets that share many lists are met once, in the list of their smallest common signature."""
+    held = {1: [0, 1, 2, 3], 2: [0, 1, 2, 3, 4], 3: [0, 1, 3, 4, 5], 4: [0, 1, 2, 3, 4, 5]}
+    rows = [(s, node, 10, 0, 4, int(node > 1), 0.5 if node else None, [10], [x for x in held if x < s and node in held[x]])
+            for s, members in held.items() for node in members]
+    rest = spark.createDataFrame(rows, "signature long, node long, n long, leader long, size long, turn int, similarity double, "
+                                       "buckets array<int>, lower array<long>").coalesce(1).cache()
+    labels = spark.createDataFrame([], "node long, component long")
+    scheme = jaccard.Scheme(90, 100)
+
+    def met(signatures, now):
+        mixed = spark.createDataFrame([(s,) for s in signatures], "signature long")
+        return sorted((r["a"], r["b"]) for r in jaccard._due_pairs(rest, mixed, labels, now, scheme).collect())
+
+    # first looks met all pairs with 0, the leader
+    assert met(held, 0) == [(1, x) for x in (2, 3, 4, 5)]
+    assert met(held, 1) == [(x, y) for x in (2, 3, 4, 5) for y in (2, 3, 4, 5) if x < y]
+    # a list that has left held one label
+    assert met([4], 1) == [(2, 5)]
