@@ -12,9 +12,11 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.fact import FACT_COLUMNS
-from ..sources.raw import ORDER_COLUMNS, orders_from_table
+from ..operators.joins import BROADCAST_ROW_LIMIT
+from ..sources.raw import ORDER_COLUMNS, RawTables, orders_from_table
 
 
 def order_file_stream(spark: SparkSession, folder: str, pattern: str = "orders*.parquet",
@@ -24,6 +26,18 @@ def order_file_stream(spark: SparkSession, folder: str, pattern: str = "orders*.
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder).select(*ORDER_COLUMNS))
 
 
+def batch_tables(raw: RawTables, orders: DataFrame, n_orders: int, limit: int | None = None) -> RawTables:
+    """The raw tables for a batch of ``n_orders`` orders.  A small batch's ids are
+    broadcast, and only its items, payments and reviews reach the rollups.  For a
+    large batch the tables stay whole: the fact joins them to the batch's orders anyway, and
+    rolled up they are smaller in that join's shuffles than the rows of a semi-join."""
+    limit = BROADCAST_ROW_LIMIT if limit is None else limit
+    if n_orders > limit:
+        return replace(raw, orders=orders)
+    ids = F.broadcast(orders.select("order_id"))
+    return replace(raw, orders=orders, **{t: getattr(raw, t).join(ids, "order_id", "left_semi") for t in ("items", "payments", "reviews")})
+
+
 def start_fact_stream(stream: DataFrame, wh, out_dir: str, checkpoint: str, available_now: bool = True):
     """Start the loader into the warehouse folder ``out_dir``; ``wh`` supplies
     the raw tables beside orders."""
@@ -32,13 +46,7 @@ def start_fact_stream(stream: DataFrame, wh, out_dir: str, checkpoint: str, avai
         from ..plans.warehouse import Warehouse, write_warehouse
         batch = batch.persist()
         orders = orders_from_table(batch)
-        ids = orders.select("order_id")
-        # only this batch's items, payments and reviews reach the rollups
-        raw = replace(wh.raw, orders=orders,
-                      items=wh.raw.items.join(ids, "order_id", "left_semi"),
-                      payments=wh.raw.payments.join(ids, "order_id", "left_semi"),
-                      reviews=wh.raw.reviews.join(ids, "order_id", "left_semi"))
-        write_warehouse(Warehouse(raw), out_dir)
+        write_warehouse(Warehouse(batch_tables(wh.raw, orders, batch.count())), out_dir)
         batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
