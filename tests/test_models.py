@@ -126,3 +126,40 @@ def test_registered_classifier_queries_search_and_stop_early(spark, queries, mon
     tuned = M._tuned(spark, SF0001).settings
     assert 1 <= tuned.pop("trees_kept") <= 2 and tuned == json.loads(ranked[0].settings)
     assert len(queries["review_cv"](spark, SF0001).collect()) == RC.CV_FOLDS
+
+
+def test_elbow_silhouette_is_of_all_customers(spark, monkeypatch):
+    """More customers than the sampled silhouette takes, in several records and parts."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+    from starloom.models import segments as S
+    from starloom.models.lloyd import Clusters, Start, fit_starts
+    monkeypatch.setattr(S, "SILHOUETTE_SAMPLE", 50)
+    monkeypatch.setattr(S.picked_sample, "__defaults__", (50, 42))
+    for name, size in (("BLOCK_POINTS", 60), ("PART_POINTS", 130), ("OWN_POINTS", 25), ("TILE_ROWS", 10), ("TILE", 16)):
+        monkeypatch.setattr(S, name, size)
+    rng = np.random.default_rng(8)
+    pts = np.vstack([rng.normal(0, 1, (150, 3)), rng.normal(4, 1, (100, 3)), rng.normal((0, 9, 0), 2, (50, 3)), [[40.0, 40.0, 40.0]], np.zeros((2, 3))])
+    vecs = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "customer_id long, x array<double>")
+    vecs = vecs.select("customer_id", array_to_vector(F.col("x")).alias("features")).cache()
+
+    def brute(lab):
+        d, s = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1)), []
+        for i in range(len(pts)):
+            own = lab == lab[i]
+            if own.sum() == 1:
+                s.append(0.0)
+                continue
+            a, b = d[i, own].sum() / (own.sum() - 1), min(d[i, lab == c].mean() for c in set(lab.tolist()) - {lab[i]})
+            s.append((b - a) / max(a, b))
+        return float(np.mean(s))
+
+    rows = S.elbow(vecs, ks=(2, 4), n_init=2).collect()
+    for r in rows:
+        model = min(fit_starts(vecs, [Start(r.k, S.SEED), Start(r.k, S.SEED + 1)], S.MAX_ITER, S.TOL), key=lambda m: m.inertia)
+        lab = np.array([q.cluster for q in model.transform(vecs).orderBy("customer_id").collect()])
+        assert abs(r.silhouette - brute(lab)) < 1e-7
+    # a cluster without customers is no neighbour, one cluster alone has no silhouette
+    empty = Clusters(np.array([[0.0, 0.0, 0.0], [1e6, 0.0, 0.0]]), 0.0)
+    assert S.silhouettes(vecs, [empty]) == [0.0] and [r.k for r in rows] == [2, 4]
