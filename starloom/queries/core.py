@@ -314,13 +314,14 @@ def q_warehouse_incremental(spark, sf_dir):
     early = F.coalesce(F.year("order_purchase_timestamp") < 1996, F.col("order_id") % 20 == 3) & (F.col("customer_id") % 2 == 1)
     for part in (early, ~early):
         orders = timed.where(part)
-        ids = orders.select("order_id")
-        items, payments, reviews = (t.join(ids, "order_id", "left_semi") for t in (raw.items, raw.payments, raw.reviews))
+        # the fact joins items, payments and reviews to the load's orders only; sellers and
+        # products are those of the load's items, looked up by distinct keys
+        items = raw.items.join(orders.select("order_id"), "order_id", "left_semi")
         write_warehouse(Warehouse(replace(
-            raw, orders=orders, items=items, payments=payments, reviews=reviews,
-            customers=raw.customers.join(orders.select("customer_id"), "customer_id", "left_semi"),
-            sellers=raw.sellers.join(items.select("seller_id"), "seller_id", "left_semi"),
-            products=raw.products.join(items.select("product_id"), "product_id", "left_semi"))), base)
+            raw, orders=orders,
+            customers=raw.customers.join(orders.select("customer_id").distinct(), "customer_id", "left_semi"),
+            sellers=raw.sellers.join(items.select("seller_id").distinct(), "seller_id", "left_semi"),
+            products=raw.products.join(items.select("product_id").distinct(), "product_id", "left_semi"))), base)
     wh = read_warehouse(spark, base)
     rows = (wh.fact.join(wh.customers.select("customer_key", "customer_id"), "customer_key", "left")
             .join(wh.dates.select(F.col("date_key").alias("order_date_key"), "full_date"), "order_date_key", "left"))

@@ -164,3 +164,29 @@ def test_a_load_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError, match="committed first"):
         W.snapshots.commit(spark, path, stale)
     assert W.read_warehouse(spark, path).fact.count() == W.warehouse_from_testdata(spark, SF0001).fact.count()
+
+
+def test_a_load_lets_go_of_finished_shuffles(spark, tmp_path, monkeypatch):
+    """The files of the dimensions' shuffles are dropped before the fact is built, those of
+    the fact's before the load goes on."""
+    import os
+    from starloom.plans import warehouse as W
+    path, seen = str(tmp_path), []
+    monkeypatch.setattr(W, "drop_finished_shuffles", lambda _: seen.append(sorted(os.listdir(path))))
+    _loads(spark, path, (F.col("order_id") % 2 == 1,))
+    dims = sorted(W.VIEW_NAMES[a] for a in W.DIMENSIONS)
+    assert seen == [dims, sorted([*dims, "fact_orders"])]
+
+
+def test_the_incremental_loads_do_not_cut_tables_that_the_fact_joins_to_its_orders(spark, monkeypatch):
+    from starloom.queries import core
+    found = []
+    monkeypatch.setattr(core, "write_warehouse", lambda wh, _: found.append(wh))
+    monkeypatch.delattr(core, "read_warehouse")
+    with pytest.raises(NameError, match="read_warehouse"):
+        core.q_warehouse_incremental(spark, SF0001)
+    whole = core.warehouse_from_testdata(spark, SF0001).raw
+    assert len(found) == 2 and all(getattr(wh.raw, t) is getattr(whole, t) for wh in found for t in ("items", "payments", "reviews"))
+    sold = [{r.seller_id for r in wh.raw.sellers.collect()} for wh in found]
+    early = found[0].raw
+    assert sold[0] == {r.seller_id for r in whole.items.join(early.orders.select("order_id"), "order_id", "left_semi").select("seller_id").distinct().collect()}
